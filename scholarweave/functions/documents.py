@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +16,7 @@ from scholarweave.fixed_values import (
     REFERENCE_TITLE,
     REFERENCE_YEAR,
 )
-from scholarweave.functions.text import clean_bibtex, collapse, content_terms, split_list, strip, technical_terms, words
+from scholarweave.functions.text import clean_bibtex, collapse, content_terms, content_tokens, merge_keywords, split_list, strip, technical_terms, words
 from scholarweave.operators.ranking import top_per_group
 
 
@@ -46,23 +44,32 @@ def keyword_section(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(entries, F.lower)))
 
 
-def find_abstract(text: Column) -> Column:
-    """First pattern whose hit has 50 to 3,000 characters, else the line-by-line way."""
-    hits = [collapse(F.regexp_extract(text, p, 1)) for p in ABSTRACT_PATTERNS]
-    usable = [F.when(_between(h, 50, 3000), F.regexp_replace(h, r"^[:\-\s]+", "")) for h in hits]
-    return F.coalesce(*usable, abstract_by_lines(text))
-
+def with_abstract(docs: DataFrame, text: str, name: str = "abstract") -> DataFrame:
+    """Adds the abstract: first pattern whose hit has 50 to 3,000 characters, else line by line.
 
-def abstract_by_lines(text: Column) -> Column:
-    """Up to twenty lines from the first that mentions an abstract, until keywords or introduction."""
-    lines = F.split(text, "\n")
-    start = F.array_position(F.transform(lines, lambda s: s.rlike(r"(?iU)\babstract\b")), True).cast("int")
-    block = F.transform(F.slice(lines, F.greatest(start, F.lit(1)), F.lit(20)), strip)
-    stop = F.array_position(F.transform(block, lambda s: s.rlike(r"(?iU)\b(keywords?|introduction|1\.?\s*introduction)\b")), True).cast("int")
-    body = F.when(stop > 0, F.slice(block, F.lit(1), stop - 1)).otherwise(block)
+    Line by line means up to twenty lines from the first that mentions an abstract, until
+    keywords or introduction. Case is ignored, so patterns that differ in case only are
+    searched once. Every step is a projection of its own: array functions are not
+    shared inside one expression, and a split or search must not run twice.
+    """
+    patterns = {p.lower(): p for p in reversed(ABSTRACT_PATTERNS)}
+    ordered = [p for p in ABSTRACT_PATTERNS if patterns[p.lower()] is p]
+    hits = F.array(*[collapse(F.regexp_extract(text, p, 1)) for p in ordered])
+    mentions = F.array_position(F.transform("_lines", lambda s: s.rlike(r"(?i)\babstract\b")), True).cast("int")
+    block = F.transform(F.slice("_lines", F.greatest(F.col("_start"), F.lit(1)), F.lit(20)), strip)
+    ends = F.transform("_block", lambda s: s.rlike(r"(?i)\b(keywords?|introduction|1\.?\s*introduction)\b"))
+    body = F.when(F.col("_stop") > 0, F.slice("_block", F.lit(1), F.col("_stop") - 1)).otherwise(F.col("_block"))
     kept = F.filter(body, lambda s: ~s.rlike(r"(?i)^\s*abstract\s*[:\-]?\s*$") & (F.length(s) > 10))
-    joined = collapse(F.array_join(kept, " "))
-    return F.when((start > 0) & _between(joined, 50, 3000), joined).otherwise(F.lit(""))
+    by_lines = F.when((F.col("_start") > 0) & _between(F.col("_joined"), 50, 3000), F.col("_joined")).otherwise(F.lit(""))
+    return (
+        docs.withColumns({"_hits": hits, "_lines": F.split(text, "\n")})
+        .withColumns({"_first": F.try_element_at(F.filter("_hits", lambda h: _between(h, 50, 3000)), F.lit(1)), "_start": mentions})
+        .withColumn("_block", block)
+        .withColumn("_stop", F.array_position(ends, True).cast("int"))
+        .withColumn("_joined", collapse(F.array_join(kept, " ")))
+        .withColumn(name, F.coalesce(F.regexp_replace("_first", r"^[:\-\s]+", ""), by_lines))
+        .drop("_hits", "_lines", "_first", "_start", "_block", "_stop", "_joined")
+    )
 
 
 def abstract_mentions(text: Column) -> Column:
@@ -80,25 +87,33 @@ def abstract_mentions(text: Column) -> Column:
     return F.when(F.size(pieces) > 1, cut).otherwise(F.array().cast("array<string>"))
 
 
-def reference_section(text: Column) -> Column:
-    """Text after the first reference header, up to the earliest closing heading."""
-    after = None
-    for header in REFERENCE_HEADERS:
-        pieces = F.split(text, header, 2)
-        hit = F.when(F.size(pieces) == 2, F.element_at(pieces, -1))
-        after = hit if after is None else F.coalesce(after, hit)
-    after = F.coalesce(after, F.lit(""))
-    cut = F.least(*[F.length(F.element_at(F.split(after, end, 2), 1)) for end in REFERENCE_ENDS])
-    return F.substr(after, F.lit(1), cut)
+def reference_sections(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, section): text after the first reference header, up to the earliest closing heading."""
+    pieces = [F.split(text, header, 2) for header in dict.fromkeys(h.lower() for h in REFERENCE_HEADERS)]
+    after = F.coalesce(*[F.when(F.size(p) == 2, F.element_at(p, -1)) for p in pieces], F.lit(""))
+    ends = dict.fromkeys(e.lower() for e in REFERENCE_ENDS)
+    cut = F.least(*[F.length(F.element_at(F.split("_after", end, 2), 1)) for end in ends])
+    return docs.select(key, after.alias("_after")).select(key, F.substr("_after", F.lit(1), cut).alias("section"))
 
 
-def split_references(section: Column) -> Column:
-    """Entries by whichever of four separators yields most pieces, else by blank line."""
-    ways = [F.split(section, p) for p in REFERENCE_SPLITS]
-    most = F.greatest(*[F.size(w) for w in ways])
-    chosen = reduce(lambda acc, w: acc.when(F.size(w) == most, w), ways[1:], F.when(F.size(ways[0]) == most, ways[0]))
-    pieces = F.when(most > 1, chosen).otherwise(F.split(section, r"\n\s*\n"))
-    return F.transform(F.filter(F.transform(pieces, strip), lambda r: F.length(r) > 20), collapse)
+def references(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, nr, reference): entries by whichever of four separators yields most pieces, else by blank line.
+
+    Each step is its own projection, so no split is computed twice.
+    """
+    ways = [F.split("section", p).alias(f"_w{i}") for i, p in enumerate(REFERENCE_SPLITS)]
+    names = [f"_w{i}" for i in range(len(REFERENCE_SPLITS))]
+    chosen = F.when(F.col("_most") <= 1, F.split("section", r"\n\s*\n"))
+    for name in names:
+        chosen = chosen.when(F.size(name) == F.col("_most"), F.col(name))
+    entries = F.transform(F.filter(F.transform("_pieces", strip), lambda r: F.length(r) > 20), collapse)
+    return (
+        reference_sections(docs, key, text)
+        .select(key, "section", *ways)
+        .withColumn("_most", F.greatest(*[F.size(n) for n in names]))
+        .select(key, chosen.alias("_pieces"))
+        .select(key, F.posexplode(entries).alias("nr", "reference"))
+    )
 
 
 def reference_info(reference: Column) -> Column:
@@ -144,7 +159,8 @@ def institutions(field: Column, author_text: Column) -> Column:
 
 def frequent_terms(docs: DataFrame, key: str, text: str, min_freq: int = 2, max_terms: int = 20) -> DataFrame:
     """(key, term, freq, rank): most frequent one- and two-word terms, first occurrence breaks ties."""
-    terms = docs.select(key, F.posexplode(content_terms(F.col(text))).alias("pos", "term"))
+    tokens = docs.select(key, content_tokens(F.col(text)).alias("_tokens"))  # used several times below
+    terms = tokens.select(key, F.posexplode(content_terms(F.col("_tokens"))).alias("pos", "term"))
     counted = terms.groupBy(key, "term").agg(F.count("*").alias("freq"), F.min("pos").alias("_first"))
     best = top_per_group(counted, [key], [F.desc("freq"), F.asc("_first")], max_terms)
     return best.filter(F.col("freq") >= min_freq).select(key, "term", "freq", "rank")
@@ -157,8 +173,8 @@ def _listed(terms: DataFrame, key: str, name: str) -> DataFrame:
 
 def document_keywords(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, keywords): section entries, dictionary hits, abstract terms and text terms, in that order."""
-    base = docs.select(key, F.col(text).alias("_t")).withColumn("_abstract", find_abstract(F.col("_t")))
-    from_abstract = _listed(frequent_terms(base, key, "_abstract", 1, 10), key, "_a")
+    base = docs.select(key, F.col(text).alias("_t"))
+    from_abstract = _listed(frequent_terms(with_abstract(base, "_t", "_abstract"), key, "_abstract", 1, 10), key, "_a")
     from_text = _listed(frequent_terms(base, key, "_t", 2, 15), key, "_f")
     none = F.array().cast("array<string>")
     merged = F.concat(
@@ -202,7 +218,6 @@ def integrate(papers: DataFrame, pdf_keywords: DataFrame, pdf_abstracts: DataFra
     ab = pdf_abstracts.groupBy(key(pdf_abstracts).alias("_key")).agg(F.min_by("abstract", "seq").alias("abstract"))
     none = F.array().cast("array<string>")
     own, pdf = F.size("bibtex_keywords") > 0, F.size("pdf_keywords") > 0
-    lowered = F.transform(F.concat("bibtex_keywords", "pdf_keywords"), lambda k: strip(F.lower(k)))
     return (
         papers.withColumnRenamed("keywords", "bibtex_keywords")
         .withColumn("_key", key(papers))
@@ -210,7 +225,7 @@ def integrate(papers: DataFrame, pdf_keywords: DataFrame, pdf_abstracts: DataFra
         .join(ab, "_key", "left")
         .withColumn("pdf_keywords", F.coalesce("pdf_keywords", none))
         .withColumn("abstract", F.coalesce("abstract", F.lit("")))
-        .withColumn("keywords", F.array_sort(F.array_distinct(F.filter(lowered, lambda k: F.length(k) > 2))))
+        .withColumn("keywords", merge_keywords(F.col("bibtex_keywords"), F.col("pdf_keywords")))
         .withColumn(
             "keyword_sources",
             F.when(own & pdf, F.array(F.lit("bibtex"), F.lit("pdf")))
@@ -249,9 +264,13 @@ def integration_statistics(integrated: DataFrame) -> DataFrame:
 def parsing_statistics(papers: DataFrame) -> DataFrame:
     """One row over parsed entries: counts and distinct authors, institutions, keywords."""
 
-    def distinct(column: str) -> Column:
-        return papers.select(F.explode(column).alias("v")).distinct().select(F.count("*")).scalar()
+    lists = ("authors", "institutions", "keywords")
+
+    def tagged(name: str) -> Column:
+        return F.transform(name, lambda v: F.struct(F.lit(name).alias("kind"), v.alias("v")))
 
+    values = papers.select(F.inline(F.flatten(F.array(*[tagged(c) for c in lists]))))
+    unique = values.distinct().agg(*[F.count_if(F.col("kind") == c).alias(f"total_unique_{c}") for c in lists])
     base = papers.agg(
         F.count("*").alias("total_papers"),
         F.count_if("has_pdf").alias("papers_with_pdf"),
@@ -259,4 +278,4 @@ def parsing_statistics(papers: DataFrame) -> DataFrame:
         F.count_if(F.size("keywords") > 0).alias("papers_with_keywords"),
         F.avg(F.size("authors")).alias("avg_authors_per_paper"),
     )
-    return base.withColumns({f"total_unique_{c}": distinct(c) for c in ("authors", "institutions", "keywords")})
+    return base.join(unique)  # one row each

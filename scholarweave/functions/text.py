@@ -1,4 +1,4 @@
-"""Column functions over free text. Character classes are Unicode (``(?U)``) throughout."""
+"""Column functions over free text. White space and word characters are Unicode throughout."""
 
 from __future__ import annotations
 
@@ -17,8 +17,10 @@ from scholarweave.fixed_values import (
 )
 
 
-def literals(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+# Every Unicode white space character, as a list and as the inside of a regex class.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+WS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WORD = r"\p{L}\p{N}_"
 
 
 def text_or_empty(text: Column) -> Column:
@@ -26,16 +28,17 @@ def text_or_empty(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def collapse(text: Column) -> Column:
-    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
+    """Runs of white space become one space; a lone space is not even matched."""
+    return strip(F.regexp_replace(text, rf"[{WS}]{{2,}}|[{WS}&&[^ ]]", " "))
 
 
 def words(text: Column) -> Column:
-    """Whitespace-separated words; empty for blank text."""
-    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+    """Words between white space; empty for blank text."""
+    return F.filter(F.split(text, rf"[{WS}]+"), lambda w: w != "")
 
 
 def clean_bibtex(text: Column) -> Column:
@@ -45,11 +48,11 @@ def clean_bibtex(text: Column) -> Column:
 
 def clean_model_input(text: Column) -> Column:
     """Letters, digits and common punctuation only."""
-    return collapse(F.regexp_replace(text_or_empty(text), r"(?U)[^\w\s.,;:!?\-()]", " "))
+    return collapse(F.regexp_replace(text_or_empty(text), rf"[^{WORD}{WS}.,;:!?\-()]", " "))
 
 
 def clean_node_text(text: Column) -> Column:
-    return collapse(F.regexp_replace(text_or_empty(text), r"(?U)[^\w\s\-.,()]", " "))
+    return collapse(F.regexp_replace(text_or_empty(text), rf"[^{WORD}{WS}\-.,()]", " "))
 
 
 def truncate_words(text: Column, n: int) -> Column:
@@ -66,7 +69,7 @@ def remove_stopwords(text: Column, language: str = "mixed") -> Column:
 def terms_found(text: Column, terms: list[str]) -> Column:
     """Dictionary terms that occur anywhere in the text, in dictionary order."""
     lowered = F.lower(text_or_empty(text))
-    return F.filter(literals(terms), lambda t: F.contains(lowered, F.lower(t)))
+    return F.array_compact(F.array(*[F.when(F.contains(lowered, F.lit(t.lower())), F.lit(t)) for t in terms]))
 
 
 def title_terms(title: Column) -> Column:
@@ -110,7 +113,7 @@ def clean_author(name: Column) -> Column:
         F.concat_ws(" ", strip(F.substring_index(raw, ",", -1)), strip(F.substring_index(raw, ",", 1))),
     ).otherwise(raw)
     swapped = F.when(F.length(F.regexp_replace(raw, "[^,]", "")) > 1, raw).otherwise(swapped)
-    cleaned = collapse(F.regexp_replace(swapped, r"(?U)[^\w\s.\-]", " "))
+    cleaned = collapse(F.regexp_replace(swapped, rf"[^{WORD}{WS}.\-]", " "))
     return F.when((F.length(raw) >= 2) & ~raw.rlike(r"^\p{Nd}+$"), cleaned)
 
 
@@ -144,13 +147,12 @@ def model_input(title: Column, abstract: Column) -> Column:
 def content_tokens(text: Column) -> Column:
     """Lower-case words of letters only, longer than two and not a stop word, in order."""
     stop = ENGLISH_STOPWORDS + PAPER_STOPWORDS
-    plain = F.regexp_replace(F.lower(text_or_empty(text)), r"(?U)[^\w\s]", " ")
+    plain = F.regexp_replace(F.lower(text_or_empty(text)), rf"[^{WORD}{WS}]", " ")
     return F.filter(words(plain), lambda w: (F.length(w) > 2) & w.rlike(r"^\p{L}+$") & ~w.isin(stop))
 
 
-def content_terms(text: Column) -> Column:
+def content_terms(tokens: Column) -> Column:
     """Single tokens, then neighbouring pairs (pairs are formed after filtering)."""
-    tokens = content_tokens(text)
     following = F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0)))
     pairs = F.zip_with(F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0))), following, lambda a, b: F.concat_ws(" ", a, b))
     return F.concat(tokens, pairs)

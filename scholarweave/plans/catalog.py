@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scholarweave.plans import builders
+from scholarweave.plans import builders, ingest, search
 
-AREAS = (builders,)
+AREAS = (builders, ingest, search)
 
 
 def queries():
