@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scholarweave.plans import builders, ingest, search
+from scholarweave.plans import builders, graph, ingest, search
 
-AREAS = (builders, ingest, search)
+AREAS = (builders, ingest, search, graph)
 
 
 def queries():

@@ -149,7 +149,7 @@ def betweenness_semantic(spark, d):
 
 
 def louvain_communities(spark, d):
-    return communities.communities(*semantic_graph(spark, d, 5))
+    return communities.communities(*semantic_graph(spark, d, 5), levels=2, rounds=3)
 
 
 def text_encoding(spark, d):
