@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scholarweave.plans import builders, graph, ingest, search
+from scholarweave.plans import builders, graph, ingest, search, serving
 
-AREAS = (builders, ingest, search, graph)
+AREAS = (builders, ingest, search, graph, serving)
 
 
 def queries():

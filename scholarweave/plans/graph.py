@@ -333,7 +333,8 @@ f AS (SELECT r.*, row_number() OVER (PARTITION BY query_id ORDER BY rk) AS rn FR
   AND NOT EXISTS (SELECT 1 FROM seeds WHERE seeds.query_id = r.query_id AND seeds.node_id = r.node_id))
 SELECT query_id, node_id, 0::INTEGER AS hop FROM seeds UNION ALL
 SELECT query_id, node_id, 1 FROM f WHERE rn <= 30 - (SELECT count(*) FROM seeds WHERE seeds.query_id = f.query_id)""",
-    "expansion_path": LOCAL + """ SELECT query_id, CAST(hop AS INTEGER) AS hop, count(*) AS added_nodes, CAST(sum(count(*)) OVER (PARTITION BY query_id ORDER BY hop) AS BIGINT) AS total_nodes FROM m3 GROUP BY 1, 2""",
+    "expansion_path": LOCAL + """ , g AS (SELECT query_id, CAST(hop AS INTEGER) AS hop, count(*) AS added_nodes FROM m3 GROUP BY 1, 2)
+SELECT *, CAST(sum(added_nodes) OVER (PARTITION BY query_id ORDER BY hop) AS BIGINT) AS total_nodes FROM g""",
     "induced_subgraph": LOCAL + """, i AS (SELECT x.query_id, src, dst, edge_type, row_number() OVER (PARTITION BY x.query_id ORDER BY src, dst, edge_type) AS rn
   FROM lit JOIN m3 x ON x.node_id = src JOIN m3 y ON y.node_id = dst AND y.query_id = x.query_id)
 SELECT query_id, src, dst, edge_type, CAST(rn AS INTEGER) AS edge_no FROM i WHERE rn <= 500""",
