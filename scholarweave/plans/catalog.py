@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scholarweave.plans import builders, graph, ingest, search, serving
+from scholarweave.plans import builders, graph, ingest, search, serving, streams
 
-AREAS = (builders, ingest, search, graph, serving)
+AREAS = (builders, ingest, search, graph, serving, streams)
 
 
 def queries():

@@ -232,4 +232,5 @@ QUERIES = {
         session_summary, cache_ttl, usage_stats,
     )
 }
-SQL = {}
+
+from scholarweave.plans.serving_sql import SQL  # noqa: E402, F401
