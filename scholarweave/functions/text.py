@@ -32,8 +32,8 @@ def strip(text: Column) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    """Runs of white space become one space; a lone space is not even matched."""
-    return strip(F.regexp_replace(text, rf"[{WS}]{{2,}}|[{WS}&&[^ ]]", " "))
+    """Runs of white space become one space; only runs are left for the regex to find."""
+    return strip(F.regexp_replace(F.translate(text, SPACES, " " * len(SPACES)), " {2,}", " "))
 
 
 def words(text: Column) -> Column:
@@ -66,10 +66,13 @@ def remove_stopwords(text: Column, language: str = "mixed") -> Column:
     return F.array_join(F.filter(words(text), lambda w: ~F.lower(w).isin(stop)), " ")
 
 
+def terms_in(lowered: Column, terms: list[str]) -> Column:
+    """Terms that occur anywhere in an already lower-case text, in list order."""
+    return F.array_remove(F.array(*[F.when(F.contains(lowered, F.lit(t.lower())), F.lit(t)).otherwise("") for t in terms]), "")
+
+
 def terms_found(text: Column, terms: list[str]) -> Column:
-    """Dictionary terms that occur anywhere in the text, in dictionary order."""
-    lowered = F.lower(text_or_empty(text))
-    return F.array_compact(F.array(*[F.when(F.contains(lowered, F.lit(t.lower())), F.lit(t)) for t in terms]))
+    return terms_in(F.lower(text_or_empty(text)), terms)
 
 
 def title_terms(title: Column) -> Column:

@@ -12,10 +12,10 @@ BLOCK = 512
 def pairs_in_group(members: DataFrame, group: str, item: str, block: int = BLOCK) -> DataFrame:
     """(group, left, right) with left < right, for distinct (group, item) rows.
 
-    A group larger than ``block`` is hashed into blocks and joined block against
-    block, so no join key ever holds more than about two blocks and a single huge
-    paper spreads over as many tasks as it has block pairs. Ordinary groups have one
-    block and are not copied.
+    Ordinary groups are joined with themselves on the group, so the one shuffle by group
+    serves the count and both sides. A group larger than ``block`` is hashed into blocks
+    and joined block against block: no join key holds more than about two blocks, and one
+    huge paper spreads over as many tasks as it has block pairs.
     """
     large = (
         members.groupBy(group)
@@ -23,20 +23,16 @@ def pairs_in_group(members: DataFrame, group: str, item: str, block: int = BLOCK
         .filter(F.col("_n") > block)
         .select(group, F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
     )
+    ordinary = members.select(group, item).join(large.select(group), group, "left_anti")
+    l, r = ordinary.alias("l"), ordinary.alias("r")
+    plain = l.join(r, (F.col(f"l.{group}") == F.col(f"r.{group}")) & (F.col(f"l.{item}") < F.col(f"r.{item}")))
+
     placed = (
-        members.join(large, group, "left")
-        .withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+        members.join(large, group)
         .withColumn("_own", F.pmod(F.xxhash64(item), F.col("_blocks")).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        .select(
-            group,
-            item,
-            "_own",
-            F.least("_own", "_other").alias("_low"),
-            F.greatest("_own", "_other").alias("_high"),
-        )
+        .select(group, item, "_own", F.least("_own", "_other").alias("_low"), F.greatest("_own", "_other").alias("_high"))
     )
-    left, right = placed.alias("l"), placed.alias("r")
     same_cell = (
         (F.col(f"l.{group}") == F.col(f"r.{group}"))
         & (F.col("l._low") == F.col("r._low"))
@@ -45,9 +41,9 @@ def pairs_in_group(members: DataFrame, group: str, item: str, block: int = BLOCK
         # two members of one block meet in that block's own cell only
         & ((F.col("l._own") != F.col("r._own")) | (F.col("l._low") == F.col("l._high")))
     )
-    return left.join(right, same_cell).select(
-        F.col(f"l.{group}").alias(group), F.col(f"l.{item}").alias("left"), F.col(f"r.{item}").alias("right")
-    )
+    blocked = placed.alias("l").join(placed.alias("r"), same_cell)
+    out = [F.col(f"l.{group}").alias(group), F.col(f"l.{item}").alias("left"), F.col(f"r.{item}").alias("right")]
+    return plain.select(*out).unionByName(blocked.select(*out))
 
 
 def pair_counts(members: DataFrame, group: str, item: str, block: int = BLOCK) -> DataFrame:

@@ -13,7 +13,7 @@ from scholarweave.fixed_values import (
     ML_TERMS,
     SOURCE_GRAPHS,
 )
-from scholarweave.functions.text import strip, terms_found, words
+from scholarweave.functions.text import strip, terms_found, terms_in, words
 from scholarweave.operators.ranking import group_rank, top_per_group
 
 NODE_COLUMNS = {
@@ -78,16 +78,16 @@ def standardize_nodes(nodes: DataFrame, source: str) -> DataFrame:
             "frequency": F.when(kind == "keyword", F.coalesce("frequency", F.lit(1))),
         }
     )
-    both = F.concat_ws("\n", F.lower("title"), F.lower("abstract"))
-    return (
-        shaped.withColumns(
-            {
-                "ml_relevance_score": F.size(terms_found(both, ML_TERMS)),
-                "battery_relevance_score": F.size(terms_found(both, BATTERY_TERMS)),
-                "has_experienced_authors": F.size(terms_found(F.array_join("authors", " "), EXPERIENCE_MARKS)) > 0,
-            }
-        ).withColumn("is_interdisciplinary", (F.col("ml_relevance_score") > 0) & (F.col("battery_relevance_score") > 0))
-    )
+    # lower-case text is a column of its own, computed once for all terms
+    scored = shaped.withColumn("_text", F.concat_ws("\n", F.lower("title"), F.lower("abstract")))
+    scored = scored.withColumns(
+        {
+            "ml_relevance_score": F.size(terms_in(F.col("_text"), ML_TERMS)),
+            "battery_relevance_score": F.size(terms_in(F.col("_text"), BATTERY_TERMS)),
+            "has_experienced_authors": F.size(terms_found(F.array_join("authors", " "), EXPERIENCE_MARKS)) > 0,
+        }
+    ).drop("_text")
+    return scored.withColumn("is_interdisciplinary", (F.col("ml_relevance_score") > 0) & (F.col("battery_relevance_score") > 0))
 
 
 def merge_nodes(standardized: DataFrame) -> DataFrame:

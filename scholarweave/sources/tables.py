@@ -11,8 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+TEXT_TABLES = ("documents", "conversations", "pages")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores when the scan has fewer splits than that.
+
+    Text work is bound by CPU, and one small file is one split. A table of many files has
+    more splits than cores and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
