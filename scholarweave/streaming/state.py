@@ -45,7 +45,7 @@ def cached_calls(calls: DataFrame, ttl_seconds: int) -> DataFrame:
     """(key, ts, hit): a call is a hit when the answer computed by the last miss is younger than the limit.
 
     ``calls``: key, ts (timestamp). A hit does not prolong an entry; state left by keys
-    that stay away is dropped after the limit.
+    that stay away is dropped once the watermark, which lags by the limit, has passed it.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -61,10 +61,10 @@ def cached_calls(calls: DataFrame, ttl_seconds: int) -> DataFrame:
             hits.append(hit)
         yield pd.DataFrame({"key": key[0], "ts": fresh["ts"], "hit": hits})
         state.update((born,))
-        state.setTimeoutDuration(ttl_seconds * 1000)
+        state.setTimeoutTimestamp(max(born // 1000 + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
 
-    return calls.groupBy("key").applyInPandasWithState(
-        step, "key string, ts timestamp, hit boolean", "born long", "append", GroupStateTimeout.ProcessingTimeTimeout
+    return calls.withWatermark("ts", f"{ttl_seconds} seconds").groupBy("key").applyInPandasWithState(
+        step, "key string, ts timestamp, hit boolean", "born long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
