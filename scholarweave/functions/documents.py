@@ -270,7 +270,7 @@ def parsing_statistics(papers: DataFrame) -> DataFrame:
         return F.transform(name, lambda v: F.struct(F.lit(name).alias("kind"), v.alias("v")))
 
     values = papers.select(F.inline(F.flatten(F.array(*[tagged(c) for c in lists]))))
-    unique = values.distinct().agg(*[F.count_if(F.col("kind") == c).alias(f"total_unique_{c}") for c in lists])
+    unique = values.distinct().select(F.struct(*[F.count_if(F.col("kind") == c).alias(c) for c in lists])).scalar()
     base = papers.agg(
         F.count("*").alias("total_papers"),
         F.count_if("has_pdf").alias("papers_with_pdf"),
@@ -278,4 +278,4 @@ def parsing_statistics(papers: DataFrame) -> DataFrame:
         F.count_if(F.size("keywords") > 0).alias("papers_with_keywords"),
         F.avg(F.size("authors")).alias("avg_authors_per_paper"),
     )
-    return base.join(unique)  # one row each
+    return base.withColumn("_u", unique).select(*base.columns, *[F.col(f"_u.{c}").alias(f"total_unique_{c}") for c in lists])

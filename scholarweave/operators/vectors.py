@@ -27,6 +27,7 @@ from scholarweave.session import BROADCAST_BYTES, durable
 DIGITS = 9
 CELL = 2048
 MAX_PIVOTS = 256
+MAX_CELLS = 1_000_000
 
 
 # --- plain column arithmetic -------------------------------------------------------
@@ -160,6 +161,18 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return rows[first], cols[first]
 
 
+def _pairs_of(left: np.ndarray, left_ids: np.ndarray, right: np.ndarray, right_ids: np.ndarray, k: int) -> pd.DataFrame:
+    """The k nearest right rows of every left row, itself left out, a thousand rows at a time."""
+    parts = []
+    for at in range(0, len(left), 1024):
+        some = left_ids[at : at + 1024]
+        scores = left[at : at + 1024] @ right.T
+        scores[some[:, None] == right_ids[None, :]] = -np.inf
+        rows, cols = _best(scores, right_ids, k)
+        parts.append(pd.DataFrame({"src": some[rows], "dst": right_ids[cols], "similarity": scores[rows, cols]}))
+    return pd.concat(parts, ignore_index=True)
+
+
 # --- search ----------------------------------------------------------------------------
 
 
@@ -267,14 +280,15 @@ def neighbours(store: DataFrame, k: int, positive_only: bool = True, limit_bytes
     if size["n"] * (8 * (size["d"] or 0) + 64) <= limit_bytes:
         found = _neighbours_whole(store, k)
     else:
-        found = _neighbours_cells(store, k, size["n"], cell)
+        # the table of cells is read by every task: it is kept below a million rows
+        found = _neighbours_cells(store, k, size["n"], max(cell, -(-size["n"] // MAX_CELLS)))
     if positive_only:
         found = found.filter(F.col("similarity") > 0)
     return found
 
 
 def neighbours_percent(store: DataFrame, percent: float = 20.0) -> DataFrame:
-    """The reference form of the list length: a share of all vectors, at least one."""
+    """List length as a share of all vectors, at least one."""
     return neighbours(store, max(1, int(store.count() * percent / 100)))
 
 
@@ -352,10 +366,7 @@ def _neighbours_cells(store: DataFrame, k: int, n: int, cell: int) -> DataFrame:
     def inside(part: pd.DataFrame) -> pd.DataFrame:
         ids = _ids(part["rep"])
         matrix = _unit(np.stack(part["embedding"].to_numpy()).astype(np.float64))
-        scores = matrix @ matrix.T
-        np.fill_diagonal(scores, -np.inf)
-        rows, cols = _best(scores, ids, k)
-        return pd.DataFrame({"src": ids[rows], "dst": ids[cols], "similarity": scores[rows, cols]})
+        return _pairs_of(matrix, ids, matrix, ids, k)
 
     near = durable(placed.select("pivot", "ring", "rep", "embedding").groupBy("pivot", "ring").applyInPandas(inside, pair))
     reached = near.groupBy("src").agg(F.count("*").alias("_n"), F.min("similarity").alias("_kth"))
@@ -393,9 +404,8 @@ def _neighbours_cells(store: DataFrame, k: int, n: int, cell: int) -> DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"src": [], "dst": [], "similarity": []})
         ids = _ids(b["rep"])
-        scores = _unit(np.stack(a["embedding"].to_numpy()).astype(np.float64)) @ _unit(np.stack(b["embedding"].to_numpy()).astype(np.float64)).T
-        rows, cols = _best(scores, ids, k)
-        return pd.DataFrame({"src": a["rep"].to_numpy()[rows], "dst": ids[cols], "similarity": scores[rows, cols]})
+        left, right = (_unit(np.stack(x["embedding"].to_numpy()).astype(np.float64)) for x in (a, b))
+        return _pairs_of(left, _ids(a["rep"]), right, ids, k)
 
     keys = ["pivot", "ring", "_slice"]
     far = askers.select(*keys, "rep", "embedding").groupBy(*keys).cogroup(

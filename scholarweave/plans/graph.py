@@ -21,16 +21,15 @@ def author_node(column):
 
 
 def source_graphs(spark, d):
-    """(name, nodes, edges) of the six source graphs over the domain views."""
+    """(name, nodes, edges) of the six source graphs over the domain views.
+
+    Edges are functions: those that rank or search run jobs, which a node query does without.
+    """
     papers, authorship, kw = t.papers(spark, d), t.authorship(spark, d), t.paper_keywords(spark, d)
     listed = kw.groupBy("paper_id").agg(F.array_sort(F.collect_set("keyword")).alias("keywords"))
     paper = paper_node("paper_id").alias("id")
     kind = lambda k: F.lit(k).alias("node_type")
-    cites, _ = citation_graph(spark, d)
-    cooc = keywords.cooccurrence_edges(kw)
     docs = t.table(spark, d, "documents").select(F.col("doc_id").alias("paper_id"), F.col("text").alias("abstract"))
-    near = vectors.neighbours(t.vectors(spark, d), 3)
-    collab = authors.collaboration_edges(authorship)
     counts = authorship.groupBy("author_id").agg(F.count("*").alias("paper_count"))
     first = authors.with_author_flags(authorship).groupBy("author_id").agg(F.count("*").alias("paper_count"), F.count_if("is_first").alias("first_author_count"))
     journals = papers.groupBy("journal").agg(F.count("*").alias("paper_count"))
@@ -38,19 +37,19 @@ def source_graphs(spark, d):
     return [
         (
             "citation", papers.join(listed, "paper_id", "left").select(paper, kind("paper"), "title", "year", "journal", "keywords"),
-            cites.select(paper_node("citing_id").alias("src"), paper_node("cited_id").alias("dst"), F.lit("citation").alias("edge_type"), none),
+            lambda: citation_graph(spark, d)[0].select(paper_node("citing_id").alias("src"), paper_node("cited_id").alias("dst"), F.lit("citation").alias("edge_type"), none),
         ),
         (
             "keyword", keywords.keyword_frequency(kw).filter("freq >= 2").select(F.col("keyword").alias("id"), kind("keyword"), F.col("freq").alias("frequency")),
-            cooc.select(F.col("keyword1").alias("src"), F.col("keyword2").alias("dst"), "weight"),
+            lambda: keywords.cooccurrence_edges(kw).select(F.col("keyword1").alias("src"), F.col("keyword2").alias("dst"), "weight"),
         ),
         (
             "semantic", papers.join(docs, "paper_id").select(paper, kind("paper"), "title", "year", "abstract"),
-            near.select(paper_node("src").alias("src"), paper_node("dst").alias("dst"), F.lit("semantic_similarity").alias("edge_type"), F.col("similarity").alias("weight")),
+            lambda: vectors.neighbours(t.vectors(spark, d), 3).select(paper_node("src").alias("src"), paper_node("dst").alias("dst"), F.lit("semantic_similarity").alias("edge_type"), F.col("similarity").alias("weight")),
         ),
         (
             "author_collab", counts.select(author_node("author_id").alias("id"), kind("author"), "paper_count"),
-            collab.select(author_node("author1").alias("src"), author_node("author2").alias("dst"), F.lit("collaboration").alias("edge_type"), F.col("collaboration_count").alias("weight")),
+            lambda: authors.collaboration_edges(authorship).select(author_node("author1").alias("src"), author_node("author2").alias("dst"), F.lit("collaboration").alias("edge_type"), F.col("collaboration_count").alias("weight")),
         ),
         (
             "author_paper",
@@ -58,7 +57,7 @@ def source_graphs(spark, d):
                 first.select(author_node("author_id").alias("id"), kind("author"), "paper_count", "first_author_count"),
                 papers.select(paper, kind("paper"), "title", "year"),
             ]),
-            authorship.select(author_node("author_id").alias("src"), paper_node("paper_id").alias("dst"), F.lit("authored").alias("edge_type"), F.lit(1.0).alias("weight")),
+            lambda: authorship.select(author_node("author_id").alias("src"), paper_node("paper_id").alias("dst"), F.lit("authored").alias("edge_type"), F.lit(1.0).alias("weight")),
         ),
         (
             "journal_paper",
@@ -66,7 +65,7 @@ def source_graphs(spark, d):
                 journals.select(F.col("journal").alias("id"), kind("journal"), "paper_count"),
                 papers.join(listed, "paper_id", "left").select(paper, kind("paper"), "title", "year", "keywords"),
             ]),
-            papers.select(paper_node("paper_id").alias("src"), F.col("journal").alias("dst"), F.lit("published_in").alias("edge_type"), F.lit(1.0).alias("weight")),
+            lambda: papers.select(paper_node("paper_id").alias("src"), F.col("journal").alias("dst"), F.lit("published_in").alias("edge_type"), F.lit(1.0).alias("weight")),
         ),
     ]
 
@@ -76,7 +75,7 @@ def unified_nodes(spark, d):
 
 
 def unified_edges(spark, d):
-    return unify.unite([unify.standardize_edges(e, name) for name, _, e in source_graphs(spark, d)])
+    return unify.unite([unify.standardize_edges(e(), name) for name, _, e in source_graphs(spark, d)])
 
 
 def unify_nodes(spark, d):
