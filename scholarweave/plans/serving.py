@@ -181,7 +181,7 @@ def memory_fifo(spark, d):
 
 
 def memory_relevance(spark, d):
-    return _kept(memory.keep_relevant(turns(spark, d), F.lit("2024-01-10 00:00:00").cast("timestamp")))
+    return _kept(memory.keep_relevant(turns(spark, d), F.timestamp_seconds(F.lit(1704844800))))
 
 
 def memory_frequency(spark, d):
