@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from scholarweave.session import BROADCAST_BYTES, durable
 
-__all__ = ["BROADCAST_BYTES", "durable", "add_columns", "join_sized", "remainder", "table"]
+__all__ = ["BROADCAST_BYTES", "add_columns", "durable", "join_sized", "masked", "remainder", "restored", "table"]
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +23,24 @@ def remainder(column: str, of: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % of
 
 
+def masked(df: DataFrame, *known: str) -> tuple[DataFrame, dict[str, Column]]:
+    """``df`` with every column but the ``known`` ones renamed, so that no name clashes with those of an operator; and each old name's column."""
+    names = [c if c in known else f"k{i}" for i, c in enumerate(df.columns)]
+    return df.toDF(*names), {c: F.col(n) for c, n in zip(df.columns, names, strict=True)}
+
+
+def restored(df: DataFrame, back: dict[str, Column]) -> DataFrame:
+    """The columns that ``masked`` renamed, under their old names."""
+    return df.select(*[c.alias(name) for name, c in back.items()])
+
+
 def add_columns(df: DataFrame, work: Callable[[pa.RecordBatch], dict[str, pa.Array]], schema: str, keep: list[str], need: list[str]) -> DataFrame:
-    """``keep`` columns of ``df`` and the columns that ``work`` makes from each Arrow batch of ``need``; one row stays one row."""
+    """``keep`` columns of ``df`` and the columns that ``work`` makes from each Arrow batch of ``need``; one row stays one row.
+
+    A made column takes the place of a kept one of the same name.
+    """
+    made_names = {field.split()[0].strip("`") for field in re.split(r",(?![^<]*>)", schema)}
+    keep = [c for c in keep if c not in made_names]
     columns = list(dict.fromkeys(keep + need))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholarweave.llm.common import add_columns, durable
+from scholarweave.llm.common import add_columns, durable, masked, restored
 from scholarweave.llm.words import LOWER, NO_WORD, Words, covered, row_buffer, slices
 
 WINDOW = 10
@@ -151,10 +151,11 @@ def remove(docs: DataFrame, benchmark: DataFrame, action: str = "documents", **o
 
     Cutting spans can bring words together that were apart; cut words leave a blank line in their place.
     """
-    found = findings(docs, benchmark, docs.columns, **options)
+    plain, back = masked(docs, "text")
+    found = findings(plain, benchmark, plain.columns, **options)
     if action == "documents":
-        return found.filter(F.size("_hit_spans") == 0).select(*docs.columns)
-    at = docs.columns.index("text")
+        return restored(found.filter(F.size("_hit_spans") == 0), back)
+    at = plain.columns.index("text")
 
     def run(batches):
         for batch in batches:
@@ -168,8 +169,8 @@ def remove(docs: DataFrame, benchmark: DataFrame, action: str = "documents", **o
                         pieces.append(raw[last : words.start[s]])
                         last = words.end[e - 1]
                     new[i] = b"\n\n".join([*pieces, raw[last:]]).decode()
-            columns = [batch.column(i) for i in range(len(docs.columns))]
+            columns = [batch.column(i) for i in range(len(plain.columns))]
             columns[at] = pa.array(new, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=plain.columns)
 
-    return found.mapInArrow(run, docs.schema)
+    return restored(found.mapInArrow(run, plain.schema), back)

@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholarweave.llm.common import masked
+
 RUN = 2
 _BLANK = " \t\r\x0b\x0c"
 
@@ -61,18 +63,17 @@ def repeated_windows(docs: DataFrame, run: int = RUN) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, run: int = RUN, counts: bool = True) -> DataFrame:
     """``docs`` with the repeated runs cut out of ``text``; with ``n_lines`` and ``n_removed`` if ``counts``."""
-    found = repeated_windows(docs, run).groupBy("doc_id", "version").agg(F.collect_set("at").alias("starts"))
-    found = found.select(F.col("doc_id").alias("_of"), F.col("version").alias("_as"), F.col("starts").alias("_starts"))
-    lines = F.col("_lines")
-    whole = docs.select("*", F.xxhash64("text").alias("_version")).join(found, (F.col("doc_id") == F.col("_of")) & (F.col("_version") == F.col("_as")), "left")
+    plain, back = masked(docs, "doc_id", "text")
+    found = repeated_windows(plain, run).groupBy("doc_id", "version").agg(F.collect_set("at").alias("_starts"))
+    found = found.withColumnsRenamed({"doc_id": "_of", "version": "_as"})
+    whole = plain.withColumn("_version", F.xxhash64("text")).join(found, (F.col("doc_id") == F.col("_of")) & (F.col("_version") == F.col("_as")), "left")
     # one projection each, so that the arrays are built once
     split = whole.withColumn("_lines", _lines(F.col("text")))
-    numbered = split.withColumn("_numbers", F.when(F.col("_starts").isNotNull(), _used(lines).no))
+    numbered = split.withColumn("_numbers", F.when(F.col("_starts").isNotNull(), _used(F.col("_lines")).no))
     gone = numbered.withColumn("_gone", F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.slice("_numbers", s + 1, run)))))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    columns = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    if counts:
-        columns += [F.when(F.col("text").isNotNull(), F.size("_lines")).otherwise(0).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed")]
-    return gone.select(*columns)
-
+    cut = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
+    n_lines = F.when(F.col("text").isNotNull(), F.size("_lines")).otherwise(0).cast("long")
+    made = gone.select(*[cut.alias(c) if c == "text" else c for c in plain.columns], n_lines.alias("_n"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_m"))
+    added = {"n_lines": F.col("_n"), "n_removed": F.col("_m")} if counts else {}
+    return made.select(*[c.alias(name) for name, c in (back | added).items()])
