@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholarweave.llm import decontaminate, line_dedup, near_dedup, packing, quality_gam
-from scholarweave.llm.common import table
+from scholarweave.llm.common import masked, restored, table
 from scholarweave.llm.queries import KEEP_FROM, quality_model
 from scholarweave.session import scratch
 
@@ -21,15 +21,17 @@ SHINGLE = 5
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
-    scored = quality_gam.score(docs, quality_model(spark, sf_dir), name="_quality_score")
-    return scored.filter(F.col("_quality_score") >= KEEP_FROM).select(*docs.columns)
+    plain, back = masked(docs, "text")
+    scored = quality_gam.score(plain, quality_model(spark, sf_dir))
+    return restored(scored.filter(F.col("score") >= KEEP_FROM), back)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the runs of lines that stand earlier; one of which nothing but blanks is left goes."""
-    cut = line_dedup.remove_repeats(docs.withColumn("_before", F.col("text")), counts=False)
-    emptied = (F.btrim("text", F.lit(" \t\r\n\x0b\x0c")) == "") & (F.col("text") != F.col("_before"))
-    return cut.filter(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)
+    plain, back = masked(docs, "doc_id", "text")
+    cut = line_dedup.remove_repeats(plain)
+    emptied = (F.btrim("text", F.lit(" \t\r\n\x0b\x0c")) == "") & (F.col("n_removed") > 0)
+    return restored(cut.filter(~F.coalesce(emptied, F.lit(False))), back)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
