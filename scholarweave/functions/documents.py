@@ -16,7 +16,7 @@ from scholarweave.fixed_values import (
     REFERENCE_TITLE,
     REFERENCE_YEAR,
 )
-from scholarweave.functions.text import clean_bibtex, collapse, content_terms, content_tokens, merge_keywords, split_list, strip, technical_terms, words
+from scholarweave.functions.text import clean_bibtex, collapse, content_terms, content_tokens, merge_keywords, split_list, strip, technical_terms, text_or_empty, words
 from scholarweave.operators.ranking import top_per_group
 
 
@@ -140,7 +140,9 @@ def reference_info(reference: Column) -> Column:
 
 def author_names(field: Column) -> Column:
     """'Last, First and First Last' to a list of 'First Last' names."""
-    people = F.filter(F.transform(F.split(clean_bibtex(field), r"(?i)\s+and\s+"), strip), lambda p: p != "")
+    # " and " inside braces is part of a name: braces are closed again before the end of the piece
+    outside = r"(?i)\s+and\s+(?=[^{}]*(?:\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}[^{}]*)*$)"
+    people = F.filter(F.transform(F.split(text_or_empty(field), outside), clean_bibtex), lambda p: p != "")
     return F.transform(
         people,
         lambda p: F.when(

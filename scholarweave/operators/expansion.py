@@ -18,7 +18,7 @@ from scholarweave.fixed_values import GRAPH_WEIGHT, HYBRID_SHARES, METADATA_WEIG
 from scholarweave.operators import vectors
 from scholarweave.operators.graph_stats import both_directions
 from scholarweave.operators.ranking import top_per_group
-from scholarweave.session import durable
+from scholarweave.session import durable, rounds
 
 MAX_NODES, MAX_EDGES, MAX_HOPS, TOP_K, THRESHOLD = 200, 500, 3, 20, 0.5
 
@@ -77,14 +77,14 @@ def expand_local(seeds: DataFrame, around: DataFrame, max_nodes: int = MAX_NODES
     return members
 
 
-def expand_global(seeds: DataFrame, around: DataFrame, centrality: DataFrame, max_nodes: int = MAX_NODES, always: float = 0.1, max_rounds: int = 200) -> DataFrame:
+def expand_global(seeds: DataFrame, around: DataFrame, centrality: DataFrame, max_nodes: int = MAX_NODES, always: float = 0.1, max_rounds: int | None = None) -> DataFrame:
     """One pass over nodes by falling centrality: a node joins if it is very central or
     touches a node that is already in.
 
     The pass is sequential by definition, but its result is the smallest fixed point of
     "in if always, or adjacent to a seed, or adjacent to an earlier node that is in".
     Rounds of joins find it; only the first ``max_nodes`` of each question are kept per
-    round, since a later node can never push an earlier one out.
+    round, since a later node can never push an earlier one out. It fails if ``max_rounds`` are not enough.
     """
     start = durable(_start(seeds))
     order = [F.desc("centrality"), F.asc("node_id")]
@@ -101,7 +101,7 @@ def expand_global(seeds: DataFrame, around: DataFrame, centrality: DataFrame, ma
     base = durable(base.join(start.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti"))
     added = durable(_take(base, start, order, max_nodes))
     before = None
-    for _ in range(max_rounds):
+    for _ in rounds(max_rounds):
         later = (
             added.select("query_id", "node_id", F.col("centrality").alias("_c"), F.col("node_id").alias("_from"))
             .join(around, "node_id")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholarweave.functions.text import strip, words
+from scholarweave.operators.ranking import group_rank
 from scholarweave.session import durable
 
 BLOCK = 2000
@@ -85,9 +86,10 @@ def match_references(refs: DataFrame, papers: DataFrame, block: int = BLOCK) ->
     ``refs`` has ref_id, title, year; ``papers`` has paper_id, title and optionally
     position (paper order, decides ties). Equal titles are compared once.
     """
-    order = F.col("position") if "position" in papers.columns else F.col("paper_id").cast("long")
+    if "position" not in papers.columns:  # ids of any type: in the order of their type, counted from 1
+        papers = group_rank(papers.select("paper_id", "title"), [], ["paper_id"], "position")
     titles = (
-        papers.select(strip(F.lower("title")).alias("title"), order.alias("position"), F.col("paper_id").cast("string").alias("paper_id"))
+        papers.select(strip(F.lower("title")).alias("title"), "position", F.col("paper_id").cast("string").alias("paper_id"))
         .groupBy("title")
         .agg(F.min("position").alias("position"), F.min_by("paper_id", "position").alias("paper_id"))
     )
@@ -117,21 +119,27 @@ def match_references(refs: DataFrame, papers: DataFrame, block: int = BLOCK) ->
     return cleaned.join(best, ["title", "year"]).select("ref_id", "m.paper_id", "m.similarity")
 
 
+def _grams(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, _anchor): the distinct runs of ``n`` characters of each text."""
+    grams = F.transform(F.sequence(F.lit(1), F.length("text") - (n - 1)), lambda i: F.substr("text", i, F.lit(n)))
+    return docs.filter(F.length("text") >= n).select("doc_id", F.explode(F.array_distinct(grams)).alias("_anchor"))
+
+
 def containment(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """(doc_id, item_id) where the document contains the whole passage.
 
     A passage of three words or more is looked up by its longest inner word, which
-    must be a word of the document; a shorter one by its first three characters.
+    must be a word of the document; a shorter one by its first three characters, or by
+    all it has. An empty passage is contained in nothing.
     """
     inner = F.slice(words(F.col("passage")), F.lit(2), F.greatest(F.size(words(F.col("passage"))) - 2, F.lit(0)))
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     keyed = passages.withColumn("_anchor", longest)
     tokens = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("_anchor"))
     candidates = tokens.join(keyed.filter(F.col("_anchor").isNotNull()).select("item_id", "_anchor"), "_anchor")
-    short = keyed.filter(F.col("_anchor").isNull()).select("item_id", F.substring("passage", 1, 3).alias("_anchor"))
-    if not short.isEmpty():
-        grams = F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.substr("text", i, F.lit(3)))
-        spans = docs.select("doc_id", F.explode(F.array_distinct(grams)).alias("_anchor"))
-        candidates = candidates.unionByName(spans.join(short, "_anchor"))
-    checked = candidates.select("doc_id", "item_id").join(docs.select("doc_id", "text"), "doc_id").join(passages, "item_id")
+    short = keyed.filter(F.col("_anchor").isNull()).select("item_id", F.substring("passage", 1, 3).alias("_anchor")).filter("_anchor <> ''")
+    for row in short.select(F.length("_anchor").alias("n")).distinct().collect():  # three rows at most
+        spans = _grams(docs, row["n"])
+        candidates = candidates.unionByName(spans.join(short.filter(F.length("_anchor") == row["n"]), "_anchor"))
+    checked = candidates.select("doc_id", "item_id").distinct().join(docs.select("doc_id", "text"), "doc_id").join(passages, "item_id")
     return checked.filter(F.contains(F.col("text"), F.col("passage"))).select("doc_id", "item_id")

@@ -14,12 +14,14 @@ from scholarweave.operators.pairs import pair_counts
 from scholarweave.operators.ranking import top_per_group
 
 
-def paper_keyword_table(papers: DataFrame, max_keywords: int = 50) -> DataFrame:
+def paper_keyword_table(papers: DataFrame, max_keywords: int | None = None) -> DataFrame:
     """Cleaned keywords per paper with counts before and after; papers without any are left out.
 
-    The per-paper maximum is the operator's noise limit, not a guard against skew.
+    ``max_keywords`` cuts each paper's list after so many; by default all stay.
     """
-    cleaned = F.slice(F.filter(F.transform("keywords", clean_keyword), lambda k: k.isNotNull()), 1, max_keywords)
+    cleaned = F.filter(F.transform("keywords", clean_keyword), lambda k: k.isNotNull())
+    if max_keywords is not None:
+        cleaned = F.slice(cleaned, 1, max_keywords)
     return (
         papers.withColumn("original_keyword_count", F.size("keywords"))
         .withColumn("keywords", cleaned)

@@ -15,6 +15,7 @@ from scholarweave.fixed_values import (
 )
 from scholarweave.functions.text import strip, terms_found, terms_in, words
 from scholarweave.operators.ranking import group_rank, top_per_group
+from scholarweave.session import durable
 
 NODE_COLUMNS = {
     "id": "string", "node_type": "string", "title": "string", "abstract": "string", "keywords": "array<string>",
@@ -216,13 +217,16 @@ def connect_journals_to_keywords(nodes: DataFrame, edges: DataFrame) -> DataFram
     return _cross(_new_only(pairs, edges), "focuses_on", F.col("freq") / F.col("_top"))
 
 
-def connect_years(nodes: DataFrame, edges: DataFrame, per_year: int = 50, starts: int = 10, reach: int = 10) -> DataFrame:
-    """Weak links among the first papers of a year: each of ten to the ten that follow it."""
+def connect_years(nodes: DataFrame, edges: DataFrame, starts: int | None = None, reach: int = 10) -> DataFrame:
+    """Weak links among the papers of a year in the order of their ids: each to the ``reach`` that follow it.
+
+    ``starts`` keeps only the first so many papers of each year as sources; by default all are.
+    """
     dated = nodes.filter((F.col("node_type") == "paper") & F.col("year").isNotNull()).select("id", "year")
-    first = top_per_group(dated, ["year"], [F.asc("id")], per_year)
-    later = first.select("year", F.col("id").alias("dst"), F.col("rank").alias("r2"))
-    pairs = first.filter(F.col("rank") <= starts).withColumnRenamed("id", "src").join(later, "year")
-    pairs = pairs.filter((F.col("r2") > F.col("rank")) & (F.col("r2") <= F.col("rank") + reach))
+    ranked = durable(group_rank(dated, ["year"], ["id"], "r"))  # read from both ends, once numbered
+    first = ranked if starts is None else ranked.filter(F.col("r") <= starts)
+    ahead = first.select(F.col("id").alias("src"), "year", F.explode(F.sequence(F.col("r") + 1, F.col("r") + reach)).alias("r"))
+    pairs = ahead.join(ranked.withColumnRenamed("id", "dst"), ["year", "r"])
     return _cross(_new_only(pairs, edges), "temporal_proximity", F.lit(0.1))
 
 

@@ -414,8 +414,9 @@ def _neighbours_cells(store: DataFrame, k: int, n: int, cell: int) -> DataFrame:
 
     by_rank = [F.desc(F.round("similarity", DIGITS)), F.asc("dst")]
     between = top_per_group(near.unionByName(far), ["src"], by_rank, k).drop("rank")
-    # A vector's own copies are at similarity one.
-    lone = members.select("rep").distinct().select(F.col("rep").alias("src"), F.col("rep").alias("dst"), F.lit(1.0).alias("similarity"))
+    # A vector's own copies are at similarity one; a zero vector is like nothing, its copies included.
+    own = F.when(F.exists("embedding", lambda x: x != 0), F.lit(1.0)).otherwise(F.lit(0.0))
+    lone = placed.select(F.col("rep").alias("src"), F.col("rep").alias("dst"), own.alias("similarity"))
     targets_by_copy = usable.select(F.col("rep").alias("dst"), F.col("node_id").alias("_dst"))
     # Every target group offers k+1 copies; k of them survive per source group ...
     lists = top_per_group(

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +39,7 @@ def build_session(master: str | None = None, app: str = "scholarweave", **conf:
 
 
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Take the folder that the cluster names; without one, a folder in the warehouse, which all executors share too."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
@@ -47,9 +47,18 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     if shared:
         context.setCheckpointDir(shared)
         return
-    if not context.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
-    context.setCheckpointDir(os.path.join(tempfile.mkdtemp(prefix="scholarweave-"), "checkpoints"))
+    own = context._jvm.org.apache.hadoop.fs.Path(spark.conf.get("spark.sql.warehouse.dir"), f"_checkpoints-{uuid.uuid4().hex}")
+    own.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(own)
+    context.setCheckpointDir(own.toString())
+
+
+def rounds(limit: int | None = None) -> Iterator[int]:
+    """0, 1, 2, ... for a loop that ends itself. A loop not done after ``limit`` rounds fails: half a result is none."""
+    at = 0
+    while limit is None or at < limit:
+        yield at
+        at += 1
+    raise RuntimeError(f"not finished after {limit} rounds")
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholarweave.functions.documents import author_names, institutions
 from scholarweave.functions.text import bibtex_keywords, clean_bibtex, strip
 
-# A value: braces nested up to three deep, a quoted string, or a bare word.
-VALUE = r'(\{(?:[^{}]++|\{(?:[^{}]++|\{[^{}]*+\})*+\})*+\}|"[^"]*"|[^,{}"\s]+)'
 SKIPPED = ["string", "comment", "preamble"]
+_HEAD = re.compile(r"@?\s*(\w+)\s*[{(]")
+_NAME = re.compile(r"[\s,]*([^\s,={}\"#%()]+)\s*=\s*")
+_KEY = re.compile(r"\s*([^,{}\s=\"]*)\s*(?=[,})]|\Z)")
+_BARE = re.compile(r"[^\s,#{}\"()]+")
+_PIECES = "array<struct<macro:boolean,text:string>>"
+_PARSED = f"array<struct<kind:string,key:string,fields:map<string,{_PIECES}>>>"
 
 
 def read_entries(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     """(entry, bibtex_file): one row per entry.
 
     The record separator is a new line that starts with '@', so one large file is read
-    by many tasks; bytes that are not UTF-8 are replaced by the text reader.
+    by many tasks; bytes that are not UTF-8 are replaced by the text reader. Entries that are
+    indented or follow another on its line stay in one record and are told apart by the parser.
     """
     rows = (
         spark.read.option("lineSep", "\n@").option("pathGlobFilter", glob).text(path)
@@ -26,31 +33,83 @@ def read_entries(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFra
     return rows.filter(F.col("entry").rlike(r"^\s*\w+\s*\{"))
 
 
-def field(entry: Column, name: str) -> Column:
-    """Raw value of one field without its outer braces or quotes; empty when absent."""
-    raw = F.regexp_extract(entry, rf"(?is)(?<![A-Za-z]){name}\s*=\s*{VALUE}", 1)
-    return F.regexp_replace(raw, r'(?s)^[{"](.*)[}"]$', "$1")
+def _value(text: str, at: int) -> tuple[list[dict], int]:
+    """Pieces of a value, braced, quoted or bare and joined by '#', and the place after it."""
+    pieces = []
+    while True:
+        while at < len(text) and text[at].isspace():
+            at += 1
+        if at < len(text) and text[at] in '{"':
+            closing, depth, start = ("}" if text[at] == "{" else '"'), 0, at + 1
+            at = start
+            while at < len(text) and not (depth == 0 and text[at] == closing):
+                depth += (text[at] == "{") - (text[at] == "}")
+                at += 1
+            pieces.append({"macro": False, "text": text[start:at]})
+            at += 1
+        elif bare := _BARE.match(text, at):
+            pieces.append({"macro": not bare[0].isdigit(), "text": bare[0]})
+            at = bare.end()
+        else:
+            return pieces, at
+        while at < len(text) and text[at].isspace():
+            at += 1
+        if at >= len(text) or text[at] != "#":
+            return pieces, at
+        at += 1
+
+
+def parse_record(text: str) -> list[dict]:
+    """Entries (kind, key, fields) of one record: the first from its start, others where an '@' follows a closed entry."""
+    out, head = [], _HEAD.match(text.lstrip())
+    text = text.lstrip()
+    while head:
+        kind, at, key, fields = head[1].lower(), head.end(), "", {}
+        if kind not in SKIPPED and (named := _KEY.match(text, at)):
+            key, at = named[1], named.end()
+        while name := _NAME.match(text, at):
+            pieces, at = _value(text, name.end())
+            fields.setdefault(name[1].lower(), pieces)
+        out.append({"kind": kind, "key": key, "fields": fields})
+        head = re.compile(r"@\s*(\w+)\s*[{(]").search(text, at)
+    return out
+
+
+def _resolved(pieces: Column) -> Column:
+    """Text of a value: macros replaced by what the file's @string entries say, unknown ones kept as they are."""
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.macro, F.coalesce(F.element_at(F.col("_macros"), F.lower(p.text)), p.text)).otherwise(p.text)), "")
 
 
 def parse_entries(entries: DataFrame) -> DataFrame:
-    """Paper metadata from raw entries; rows that are no publication are left out."""
-    e = F.col("entry")
-    kind = F.lower(F.regexp_extract(e, r"^\s*(\w+)\s*\{", 1))
-    key = strip(F.regexp_extract(e, r"^\s*\w+\s*\{\s*([^,{}\s]+)\s*,", 1))
-    return (
-        entries.withColumn("bibtex_key", key)
-        .filter(~kind.isin(SKIPPED) & (F.col("bibtex_key") != ""))
-        .select(
-            "bibtex_key",
-            clean_bibtex(field(e, "title")).alias("title"),
-            author_names(field(e, "author")).alias("authors"),
-            institutions(field(e, "institution"), field(e, "author")).alias("institutions"),
-            field(e, "year").alias("year"),
-            clean_bibtex(field(e, "journal")).alias("journal"),
-            clean_bibtex(field(e, "publisher")).alias("publisher"),
-            bibtex_keywords(field(e, "keywords"), field(e, "title")).alias("keywords"),
-            *[c for c in entries.columns if c != "entry"],
-        )
+    """Paper metadata from raw entries; rows that are no publication are left out.
+
+    Values keep braces of any depth; ``@string`` macros hold in their own file.
+    """
+    split = F.pandas_udf(lambda texts: texts.map(lambda e: parse_record(e or "")), _PARSED, F.PandasUDFType.SCALAR)
+    parsed = entries.withColumn("_entry", F.explode(split("entry")))
+    defined = parsed.filter("_entry.kind = 'string'").select("bibtex_file", F.explode("_entry.fields").alias("name", "pieces"))
+    plain = F.array_join(F.transform("pieces", lambda p: p.text), "")
+    # one short list for each file: what its @string entries define
+    macros = defined.groupBy("bibtex_file", "name").agg(F.min(plain).alias("text"))
+    macros = macros.groupBy("bibtex_file").agg(F.map_from_entries(F.collect_list(F.struct("name", "text"))).alias("_macros"))
+    named = parsed.filter(~F.col("_entry.kind").isin(SKIPPED) & (F.col("_entry.key") != "")).join(macros, "bibtex_file", "left")
+    named = named.withColumn("_macros", F.coalesce("_macros", F.create_map().cast("map<string,string>")))
+
+    def field(name: str) -> Column:
+        return F.coalesce(_resolved(F.element_at(F.col("_entry.fields"), F.lit(name))), F.lit(""))
+
+    names = ["title", "author", "institution", "year", "journal", "publisher", "keywords"]
+    values = named.select(*[c for c in entries.columns if c != "entry"], F.col("_entry.key").alias("bibtex_key"), *[field(n).alias(f"_{n}") for n in names])
+    return values.select(
+        "bibtex_key",
+        clean_bibtex(F.col("_title")).alias("title"),
+        author_names(F.col("_author")).alias("authors"),
+        institutions(F.col("_institution"), F.col("_author")).alias("institutions"),
+        F.col("_year").alias("year"),
+        clean_bibtex(F.col("_journal")).alias("journal"),
+        clean_bibtex(F.col("_publisher")).alias("publisher"),
+        bibtex_keywords(F.col("_keywords"), F.col("_title")).alias("keywords"),
+        *[c for c in entries.columns if c != "entry"],
     )
 
 

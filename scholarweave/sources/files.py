@@ -22,8 +22,8 @@ def pypdf_text(content: bytes, max_pages: int | None) -> str:
     return "\n".join(p.extract_text() or "" for p in (pages[:max_pages] if max_pages else pages))
 
 
-def read_pdf_texts(spark: SparkSession, path: str, max_pages: int | None = 3, extract: Callable[[bytes, int | None], str] | None = None) -> DataFrame:
-    """(pdf_file, text): text of the first pages, or of all; empty when a file cannot be read.
+def read_pdf_texts(spark: SparkSession, path: str, max_pages: int | None = None, extract: Callable[[bytes, int | None], str] | None = None) -> DataFrame:
+    """(pdf_file, text): text of all pages, or of the first ``max_pages``; empty when a file cannot be read.
 
     ``extract`` turns bytes into text and may be any PDF library; files are spread over
     the tasks and only their text leaves them.
