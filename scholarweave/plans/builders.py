@@ -271,7 +271,7 @@ c AS (SELECT doc_id, i, n, lower(regexp_replace(k, '^[\\s\\x{{85}}\\p{{Z}}]+|[\\
 g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM c
   WHERE length(k) BETWEEN 2 AND 50 AND NOT regexp_matches(k, '^\\p{{Nd}}+$') AND regexp_matches(k, '[a-zA-Z0-9]') AND k NOT IN ({STOP}))
 SELECT doc_id AS paper_id, CAST(any_value(n) AS INTEGER) AS original_keyword_count, CAST(count(*) AS INTEGER) AS clean_keyword_count,
-       string_agg(k, '|' ORDER BY rn) AS keywords FROM g WHERE rn <= 50 GROUP BY 1""",
+       string_agg(k, '|' ORDER BY rn) AS keywords FROM g GROUP BY 1""",
     "keyword_visual": with_views(KW, COOC) + """, top AS (SELECT keyword, count(*) AS freq FROM kw GROUP BY keyword
   ORDER BY freq DESC, min(paper_id), min_by(line, paper_id), keyword LIMIT 50),
 e AS (SELECT * FROM cooc WHERE keyword1 IN (SELECT keyword FROM top) AND keyword2 IN (SELECT keyword FROM top)),

@@ -251,7 +251,7 @@ FOCUS = """jc AS (SELECT journal, keyword, count(*) AS f FROM papers JOIN kw USI
 jr AS (SELECT *, row_number() OVER (PARTITION BY journal ORDER BY f DESC, keyword) AS rk, count(*) OVER (PARTITION BY journal) AS n, max(f) OVER (PARTITION BY journal) AS mx FROM jc),
 focus AS (SELECT journal AS src, keyword AS dst, round(f / mx, 6) AS weight FROM jr WHERE rk <= greatest(5, n // 5) AND keyword IN (SELECT keyword FROM freq))"""
 NEARYEAR = """yr AS (SELECT 'paper_' || paper_id AS id, year, row_number() OVER (PARTITION BY year ORDER BY 'paper_' || paper_id) AS rn FROM papers),
-ty AS (SELECT a.id AS src, b.id AS dst, 0.1::DOUBLE AS weight FROM yr a JOIN yr b ON a.year = b.year AND a.rn <= 10 AND b.rn <= 50 AND b.rn > a.rn AND b.rn <= a.rn + 10
+ty AS (SELECT a.id AS src, b.id AS dst, 0.1::DOUBLE AS weight FROM yr a JOIN yr b ON a.year = b.year AND b.rn > a.rn AND b.rn <= a.rn + 10
   WHERE NOT EXISTS (SELECT 1 FROM cites WHERE 'paper_' || citing_id = a.id AND 'paper_' || cited_id = b.id)
     AND NOT EXISTS (SELECT 1 FROM nn WHERE 'paper_' || nn.src = a.id AND 'paper_' || nn.dst = b.id))"""
 QUALITY = "CASE WHEN al > 100 THEN 'good' WHEN al > 50 THEN 'fair' WHEN al > 0 THEN 'poor' ELSE 'none' END"

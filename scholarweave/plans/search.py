@@ -119,37 +119,30 @@ def scc_sizes(spark, d):
     return components.component_sizes(found).groupBy("size").agg(F.count("*").alias("components"))
 
 
-def dense_collaboration(spark, d):
-    """Collaborations above the mean count: about half of all pairs."""
-    nodes, edges = collaboration_graph(spark, d)
-    mean = edges.select(F.avg("weight")).scalar()
-    return nodes, edges.filter(F.col("weight") > mean)
-
-
 def clustering_coefficient(spark, d):
-    return _round(graph_stats.clustering(*dense_collaboration(spark, d)), "clustering")
+    return _round(graph_stats.clustering(*collaboration_graph(spark, d)), "clustering")
 
 
 def transitivity(spark, d):
-    local = graph_stats.clustering(*dense_collaboration(spark, d))
+    local = graph_stats.clustering(*collaboration_graph(spark, d))
     return _round(graph_stats.clustering_summary(local), "average_clustering", "transitivity")
 
 
 def eigenvector_centrality(spark, d):
-    return _round(centrality.eigenvector_centrality(*dense_collaboration(spark, d), max_rounds=5, tolerance=0.0), "centrality")
+    return _round(centrality.eigenvector_centrality(*collaboration_graph(spark, d)), "centrality")
 
 
 def betweenness_centrality(spark, d):
-    return _round(centrality.betweenness_centrality(*dense_collaboration(spark, d)), "centrality")
+    return _round(centrality.betweenness_centrality(*collaboration_graph(spark, d)), "centrality")
 
 
 def betweenness_semantic(spark, d):
-    """Sampled pivots on the sparse neighbour graph."""
+    """The estimate from a hundred pivots, on the sparse neighbour graph."""
     return _round(centrality.betweenness_centrality(*semantic_graph(spark, d, 3), pivots=100), "centrality")
 
 
 def louvain_communities(spark, d):
-    return communities.communities(*semantic_graph(spark, d, 5), levels=2, rounds=3)
+    return communities.communities(*semantic_graph(spark, d, 5))
 
 
 def text_encoding(spark, d):
@@ -208,8 +201,8 @@ UNDIRECTED = "u AS (SELECT src AS a, dst AS b FROM nn UNION SELECT dst, src FROM
 REACH = f"""WITH RECURSIVE {nearest(1)}, {UNDIRECTED},
 w(id, root) AS (SELECT id, id FROM e UNION SELECT u.b, w.root FROM w JOIN u ON u.a = w.id),
 cc AS (SELECT id, min(root) AS component FROM w GROUP BY 1)"""
-DENSE = """dense AS MATERIALIZED (SELECT author1 AS a, author2 AS b FROM collab WHERE collaboration_count > (SELECT avg(collaboration_count) FROM collab)),
-adj AS MATERIALIZED (SELECT a, b FROM dense UNION ALL SELECT b, a FROM dense),
+WHOLE = """pairs AS MATERIALIZED (SELECT author1 AS a, author2 AS b FROM collab),
+adj AS MATERIALIZED (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
 deg AS (SELECT s_suppkey AS id, count(adj.a) AS degree FROM supplier LEFT JOIN adj ON adj.a = s_suppkey GROUP BY 1),
 tri AS (SELECT x.a AS id, count(*) / 2 AS triangles FROM adj x JOIN adj y ON x.b = y.a JOIN adj z ON y.b = z.a AND z.b = x.a GROUP BY 1),
 loc AS (SELECT id, degree, CAST(coalesce(triangles, 0) AS BIGINT) AS triangles,
@@ -217,11 +210,14 @@ loc AS (SELECT id, degree, CAST(coalesce(triangles, 0) AS BIGINT) AS triangles,
 
 
 def power_rounds(n):
-    steps = ["x0 AS (SELECT s_suppkey AS id, 1.0::DOUBLE / (SELECT count(*) FROM supplier) AS x FROM supplier)"]
+    """n rounds of the iteration, and the first of them whose total change is below 0.001 for each node."""
+    steps = ["x0 AS (SELECT s_suppkey AS id, 1.0::DOUBLE / (SELECT count(*) FROM supplier) AS x, NULL::DOUBLE AS change FROM supplier)"]
     for i in range(n):
-        steps.append(f"y{i} AS MATERIALIZED (SELECT id, x + coalesce((SELECT sum(o.x) FROM adj JOIN x{i} o ON o.id = adj.b WHERE adj.a = x{i}.id), 0) AS y FROM x{i})")
-        steps.append(f"x{i + 1} AS MATERIALIZED (SELECT id, y / (SELECT sqrt(sum(y * y)) FROM y{i}) AS x FROM y{i})")
-    return ", ".join(steps) + f" SELECT id, round(x, 6) AS centrality FROM x{n}"
+        steps.append(f"y{i} AS MATERIALIZED (SELECT id, x, x + coalesce((SELECT sum(o.x) FROM adj JOIN x{i} o ON o.id = adj.b WHERE adj.a = x{i}.id), 0) AS y FROM x{i})")
+        steps.append(f"x{i + 1} AS MATERIALIZED (SELECT id, y / l AS x, sum(abs(y / l - x)) OVER () AS change FROM y{i}, (SELECT sqrt(sum(y * y)) AS l FROM y{i}))")
+    tried = " UNION ALL ".join(f"SELECT {i} AS round, * FROM x{i}" for i in range(1, n + 1))
+    return ", ".join(steps) + f""", tried AS MATERIALIZED ({tried})
+SELECT id, round(x, 6) AS centrality FROM tried WHERE round = (SELECT min(round) FROM tried WHERE change < 0.001 * (SELECT count(*) FROM supplier))"""
 
 
 # Dependencies through explicit distances and path counts (the graph's diameter is small).
@@ -260,11 +256,11 @@ SQL = {
     "scc_sizes": f"""WITH RECURSIVE {nearest(1)}, w(a, b) AS (SELECT src, dst FROM nn UNION SELECT w.a, nn.dst FROM w JOIN nn ON nn.src = w.b),
 scc AS (SELECT id, greatest(id, coalesce((SELECT max(x.b) FROM w x JOIN w y ON y.a = x.b AND y.b = x.a WHERE x.a = e.id), id)) AS c FROM e)
 SELECT size, count(*) AS components FROM (SELECT c, count(*) AS size FROM scc GROUP BY 1) GROUP BY 1""",
-    "clustering_coefficient": with_views(AUTH, COLLAB, DENSE) + " SELECT id, degree, triangles, round(clustering, 6) AS clustering FROM loc",
-    "transitivity": with_views(AUTH, COLLAB, DENSE) + """
+    "clustering_coefficient": with_views(AUTH, COLLAB, WHOLE) + " SELECT id, degree, triangles, round(clustering, 6) AS clustering FROM loc",
+    "transitivity": with_views(AUTH, COLLAB, WHOLE) + """
 SELECT round(avg(clustering), 6) AS average_clustering, round(sum(triangles) * 2.0 / sum(degree * (degree - 1.0)), 6) AS transitivity FROM loc""",
-    "eigenvector_centrality": with_views(AUTH, COLLAB, DENSE) + ", " + power_rounds(5),
-    "betweenness_centrality": with_views(AUTH, COLLAB, DENSE) + ", " + BETWEEN,
+    "eigenvector_centrality": with_views(AUTH, COLLAB, WHOLE) + ", " + power_rounds(12),
+    "betweenness_centrality": with_views(AUTH, COLLAB, WHOLE) + ", " + BETWEEN,
     "text_encoding": r"""WITH t AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS w FROM documents),
 h AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 7) AS BIGINT) % 64 AS pos, CASE WHEN CAST('0x' || substr(md5(w), 8, 1) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END AS s FROM t),
 b AS (SELECT doc_id, pos, CAST(sum(s) AS DOUBLE) AS x FROM h GROUP BY 1, 2)
