@@ -142,7 +142,7 @@ def betweenness_semantic(spark, d):
 
 
 def louvain_communities(spark, d):
-    return communities.communities(*semantic_graph(spark, d, 5))
+    return communities.communities(*semantic_graph(spark, d, 5), least_gain=0.05)
 
 
 def text_encoding(spark, d):
