@@ -6,18 +6,20 @@
    by the larger register; equal registers are as likely as the sets are alike.
 2. Documents with equal sets form a class, represented by its smallest id; only classes go on.
 3. ``BANDS`` bands of registers are hashed to buckets. In each bucket every class meets the
-   bucket's smallest id (a star, not pairs). The sketches' joint likelihood estimates the
-   similarity; pairs clearly below the threshold go, all others are confirmed on the full sets.
-4. Confirmed links are joined to components. A bucket of three or more whose members are still in
-   different components can hold links that no star has shown: its members outside its first member's component
-   meet all its members of other components, in blocks of ``BLOCK``; the estimate picks and full sets confirm. Then components again.
+   bucket's hub (a star, not pairs): the member with the most company in all its buckets, which is
+   what the others are copies of. The sketches' joint likelihood estimates the
+   similarity; pairs clearly below the threshold go, all others are confirmed on the full sets. Each class tries its
+   best hub first and its other hubs only while they are in another component.
+4. A bucket of three or more whose members are still in different components can hold links that no star has shown:
+   its members outside the hub's component meet all its members of other components, in blocks of ``BLOCK``, on sets
+   folded to 32 bits, which cannot lose a link. One pair is given for each class and other component and confirmed on the full sets;
+   if folding ever misled one, all such pairs are confirmed. Then components again.
 
 A pair at exactly the threshold of 0.8 shares a bucket with probability 1 - (1 - 0.8^5)^40 =
 1 - 1e-7; the estimate's margin of 0.15 is over five standard deviations there.
 
-Only linear rows move: star pairs, and cross-component blocks where stars left a bucket
-apart. Hot buckets are counted by combining aggregations and joined with splittable equi-joins;
-a group of any size never meets in one task.
+Only linear rows move: star pairs, and the members of buckets that stars left apart. Hot
+buckets are counted by combining aggregations and joined with splittable equi-joins; a group of any size never meets in one task.
 
 Defined results: a document of fewer than ``shingle`` words has its whole word sequence as its only
 shingle, one without words has none and is linked with nothing. Null ids are kept unlinked (component_id null).
@@ -205,58 +207,110 @@ def _band(i: Column) -> Column:
     return F.xxhash64(F.substring("registers", i * (2 * ROWS) + 1, F.lit(2 * ROWS)), i)
 
 
-def _left_in_buckets(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Likely pairs across components inside buckets that stars left apart. ``members``: bucket, rep, hub, n, label."""
+def _folded(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """(rep, folded): the sets of some classes with every shingle hash folded to 32 bits; folding can only make sets look more alike."""
+    texts = join_sized(docs.select("doc_id", "text"), ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi", 64)
+
+    def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        rows = []
+        for _, _, code, first in shingle_sets(batch.column(batch.schema.get_field_index("text")), shingle):
+            raw = code.astype("<u4").tobytes()
+            rows += [raw[4 * s : 4 * e] for s, e in pairwise(first.tolist())]
+        return {"folded": pa.array(rows, pa.binary())}
+
+    return add_columns(texts, work, "folded binary", ["doc_id"], ["text"]).withColumnRenamed("doc_id", "rep")
+
+
+def _left_in_buckets(members: DataFrame, docs: DataFrame, shingle: int, every: bool) -> DataFrame:
+    """Pairs across components inside buckets that stars left apart, that may be alike enough.
+
+    ``members``: bucket, rep, hub, n, label. Of the pairs of one class with one other component the most alike is given, or ``every`` one.
+    """
     hub_label = members.filter("rep = hub").select("bucket", F.col("label").alias("hub_label")).distinct()
     spread = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
-    apart = members.filter("n > 2").join(spread, "bucket").join(hub_label, "bucket")
+    apart = durable(members.filter("n > 2").join(spread, "bucket").join(hub_label, "bucket"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks.cast("long")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), blocks - 1))
-    # members outside the first member's component meet every member, block against block; the first itself has met all
-    left = apart.filter("label <> hub_label").select("bucket", own.alias("x"), every.alias("y"), "rep", "label", F.lit(True).alias("outside"))
-    right = apart.filter("rep <> hub").select("bucket", own.alias("y"), every.alias("x"), "rep", "label", F.lit(False).alias("outside")).select("bucket", "x", "y", "rep", "label", "outside")
-    rows = left.unionByName(right).join(classes.select("rep", "n_shingles", "registers"), "rep")
-    least = THRESHOLD / 100 - MARGIN
-    kind = classes.schema["rep"].dataType.simpleString()
+    each = F.explode(F.sequence(F.lit(0), blocks - 1))
+    # members outside the hub's component meet every other member, block against block; the hub itself has met all
+    left = apart.filter("label <> hub_label").select("bucket", own.alias("x"), each.alias("y"), "rep", "label", F.lit(True).alias("outside"))
+    right = apart.filter("rep <> hub").select("bucket", each.alias("x"), own.alias("y"), "rep", "label", F.lit(False).alias("outside"))
+    ids = durable(apart.select("rep").distinct())
+    rows = left.unionByName(right).join(_folded(docs, ids, shingle), "rep")
+    kind = members.schema["rep"].dataType.simpleString()
 
     def run(_, part):
         outside = np.array(part.column("outside").to_pylist(), dtype=bool)
         reps, labels = part.column("rep").combine_chunks(), part.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
-        registers, n = _matrix(part.column("registers").combine_chunks()), part.column("n_shingles").to_numpy()
+        sets = [np.frombuffer(raw, dtype="<u4") for raw in part.column("folded").to_pylist()]
         rights = np.flatnonzero(~outside)
         a, b = [], []
-        for i in np.flatnonzero(outside):
-            others = rights[labels[rights] != labels[i]]
-            if len(others):
-                x = registers[i]
-                likely = likelihood_estimate((x > registers[others]).sum(1), (x < registers[others]).sum(1), np.full(len(others), n[i]), n[others])
-                found = others[likely >= least]
-                a += [i] * len(found)
-                b += found.tolist()
+        if len(rights) and outside.any():
+            sizes = np.array([len(sets[i]) for i in rights])
+            begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            known, place = np.unique(np.concatenate([sets[i] for i in rights]), return_inverse=True)
+            table = np.zeros(len(known), dtype=bool)
+            for i in np.flatnonzero(outside):
+                at = np.minimum(np.searchsorted(known, sets[i]), len(known) - 1)
+                at = at[known[at] == sets[i]]
+                table[at] = True
+                common = np.add.reduceat(table[place], begin, dtype=np.int64)
+                table[at] = False
+                alike = np.flatnonzero((100 * common >= THRESHOLD * (sizes + len(sets[i]) - common)) & (labels[rights] != labels[i]))
+                if not every:  # the most alike of each component
+                    alike = alike[np.argsort(-(common[alike] / (sizes[alike] + len(sets[i]))), kind="stable")]
+                    alike = alike[np.unique(labels[rights[alike]], return_index=True)[1]]
+                a += [i] * len(alike)
+                b += rights[alike].tolist()
         return pa.table({"a": reps.take(pa.array(a, pa.int64())), "b": reps.take(pa.array(b, pa.int64()))})
 
     pairs = rows.groupBy("bucket", "x", "y").applyInArrow(run, f"a {kind}, b {kind}")
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def _with_labels(df: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` with the component of each ``column``; a class without links is its own."""
+    found = labels.select(F.col("node").alias(column), F.col("label").alias(name))
+    return df.join(found, column, "left").withColumn(name, F.coalesce(name, column))
+
+
+def _class_links(classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """Confirmed links (a, b) that connect all classes which any links connect."""
+    bands = classes.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), _band)).alias("bucket"))
+    shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    members = durable(bands.join(shared, "bucket"))  # of shared buckets only
+    # the hub of a bucket is the member with the most company in all its buckets: what others are copies of
+    company = members.groupBy("rep").agg(F.sum("n").alias("company"))
+    hubs = members.join(company, "rep").groupBy("bucket").agg(F.min_by(F.struct("rep", "company"), F.struct(-F.col("company"), F.col("rep"))).alias("h"))
+    members = durable(members.join(hubs.select("bucket", F.col("h.rep").alias("hub"), F.col("h.company").alias("company")), "bucket"))
+    stars = durable(members.filter("rep <> hub").groupBy(F.col("rep").alias("a"), F.col("hub").alias("b")).agg(F.max("company").alias("company")))
+    # first each class with its best hub, then the hubs that are still in another component
+    best = stars.groupBy("a").agg(F.min_by("b", F.struct(-F.col("company"), F.col("b"))).alias("b"))
+    found = durable(_confirmed(_likely(best, classes), docs, shingle))
+    labels = components(found)
+    rest = stars.join(best, ["a", "b"], "left_anti").select("a", "b")
+    rest = _with_labels(_with_labels(rest, labels, "a", "la"), labels, "b", "lb").filter("la <> lb").select("a", "b")
+    found = durable(found.unionByName(_confirmed(_likely(rest, classes), docs, shingle)))
+    for every in (False, True):
+        labelled = _with_labels(members.drop("company"), components(found), "rep", "label")
+        pairs = durable(_left_in_buckets(labelled, docs, shingle, every))
+        more = durable(_confirmed(pairs, docs, shingle))
+        found = found.unionByName(more)
+        if more.count() == pairs.count():  # no pair was alike by folding only: nothing can hide behind it
+            break
+    return found
+
+
 def groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id of each document of ``docs`` (doc_id, text), and whether it is ``kept``."""
     made = durable(sketches(docs, shingle))
     same_set = ["n_shingles", "set_one", "set_two"]
     usable = made.filter("n_shingles > 0 and doc_id is not null")
     classes = durable(usable.groupBy(*same_set).agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers")))
-    bands = classes.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), _band)).alias("bucket"))
-    hubs = bands.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    members = durable(bands.join(hubs, "bucket"))  # of shared buckets only
-    stars = members.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    found = durable(_confirmed(_likely(stars, classes), docs, shingle))
-    labels = components(found)
-    labelled = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    more = _confirmed(_left_in_buckets(labelled, classes), docs, shingle)
+    found = _class_links(classes, docs, shingle)
     # equal sets under several ids of one document, or several documents under one id, meet here as well
     member_links = usable.join(classes.select(*same_set, "rep"), same_set).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more).unionByName(member_links))
+    labels = components(found.unionByName(member_links))
     out = made.select("doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("label", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
