@@ -155,7 +155,8 @@ def remove(docs: DataFrame, benchmark: DataFrame, action: str = "documents", **o
     found = findings(plain, benchmark, plain.columns, **options)
     if action == "documents":
         return restored(found.filter(F.size("_hit_spans") == 0), back)
-    at = plain.columns.index("text")
+    names = plain.columns
+    at = names.index("text")
 
     def run(batches):
         for batch in batches:
@@ -169,8 +170,8 @@ def remove(docs: DataFrame, benchmark: DataFrame, action: str = "documents", **o
                         pieces.append(raw[last : words.start[s]])
                         last = words.end[e - 1]
                     new[i] = b"\n\n".join([*pieces, raw[last:]]).decode()
-            columns = [batch.column(i) for i in range(len(plain.columns))]
+            columns = [batch.column(i) for i in range(len(names))]
             columns[at] = pa.array(new, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=plain.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return restored(found.mapInArrow(run, plain.schema), back)
