@@ -74,8 +74,9 @@ def unified_nodes(spark, d):
     return unify.merge_nodes(unify.unite([unify.standardize_nodes(n, name) for name, n, _ in source_graphs(spark, d)]))
 
 
-def unified_edges(spark, d):
-    return unify.unite([unify.standardize_edges(e(), name) for name, _, e in source_graphs(spark, d)])
+def unified_edges(spark, d, *only):
+    """Edges of all sources, or of those named."""
+    return unify.unite([unify.standardize_edges(e(), name) for name, _, e in source_graphs(spark, d) if not only or name in only])
 
 
 def unify_nodes(spark, d):
@@ -89,24 +90,26 @@ def unify_edges(spark, d):
     return unified_edges(spark, d).select("src", "dst", "edge_key", F.round("normalized_weight", 6).alias("normalized_weight"))
 
 
-def _cross(spark, d, connect):
-    return connect(durable(unified_nodes(spark, d)), unified_edges(spark, d)).select("src", "dst", F.round("weight", 6).alias("weight"))
+def _cross(spark, d, connect, *sources):
+    """New edges of one connector, from the sources whose edges it follows or could repeat (those between the same kinds of nodes)."""
+    nodes = durable(unified_nodes(spark, d).select("id", "node_type", "keywords", "year"))
+    return connect(nodes, unified_edges(spark, d, *sources)).select("src", "dst", F.round("weight", 6).alias("weight"))
 
 
 def cross_has_keyword(spark, d):
-    return _cross(spark, d, unify.connect_papers_to_keywords)
+    return _cross(spark, d, unify.connect_papers_to_keywords, "author_paper", "journal_paper")
 
 
 def cross_specializes_in(spark, d):
-    return _cross(spark, d, unify.connect_authors_to_keywords)
+    return _cross(spark, d, unify.connect_authors_to_keywords, "author_paper")
 
 
 def cross_focuses_on(spark, d):
-    return _cross(spark, d, unify.connect_journals_to_keywords)
+    return _cross(spark, d, unify.connect_journals_to_keywords, "journal_paper")
 
 
 def temporal_proximity(spark, d):
-    return _cross(spark, d, unify.connect_years)
+    return _cross(spark, d, unify.connect_years, "citation", "semantic")
 
 
 def unified_stats(spark, d):
