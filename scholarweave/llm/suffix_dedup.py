@@ -4,13 +4,14 @@ The suffixes of a text start at its words. A repeated passage of ``window`` word
 of the suffix tree at that depth with two documents below it. The tree is never built in one
 piece: suffixes meet in groups by a prefix, and a group's prefix is made longer where it is shared.
 
-1. Short prefixes. Of the ``PREFIX``-word prefixes inside each window the one with the
+1. Short prefixes. Of the 14-word prefixes inside each window the one with the
    smallest hash is the window's anchor, so equal windows have the same anchor at the same
    offset and about one suffix in 19 is an anchor. Anchors are counted by prefix with the smallest and
    largest document below; a prefix that stays inside one document has no deep shared node and its group ends here.
-2. Long prefixes. Only windows whose anchor is in a shared group go on, with the prefix
-   lengthened to the whole window: these groups are the deep internal nodes. A node needs no memory beyond its smallest document,
-   which one combining aggregation finds, so a node that a third of all documents share is no hot group.
+2. Longer prefixes. Where a prefix is shared its windows go on with anchors of 38 words, counted alike, and where these are shared
+   with the whole window as prefix: those groups are the deep internal nodes. Successive windows with one short anchor are one
+   edge of the tree, kept as one row: an edge that a smaller document has too is marked whole and never taken apart. A node needs
+   no memory beyond its smallest document, which one combining aggregation finds, so a node that a third of all documents share is no hot group.
 3. Every suffix below a node with a smaller document marks its window; the union of the marked windows is removed.
 
 Documents of equal words are one to begin with: the smallest id stands for them, and each
@@ -24,6 +25,7 @@ An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from scholarweave.llm.common import add_columns, durable, join_sized
 from scholarweave.llm.words import Words, covered, mix, per_row, slices
 
 WINDOW = 50
-PREFIX = 14
+PREFIXES = (14, 38)  # words; each longer one is tried only below the shorter ones that are shared
 _SALT = np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -76,7 +78,7 @@ def _profile(docs: DataFrame, window: int) -> DataFrame:
             one.append(mix(whole + words.counts().astype(np.uint64)))
             extra = np.concatenate([[np.uint64(0)], np.cumsum(mix(words.code ^ _SALT) * (np.arange(len(words), dtype=np.uint64) - np.repeat(f, words.counts()).astype(np.uint64) + np.uint64(1)), dtype=np.uint64)])
             two.append(mix(extra[e] - extra[f]))
-            at, _, chosen, _ = anchors(words, window, PREFIX)
+            at, _, chosen, _ = anchors(words, window, PREFIXES[0])
             row = words.row_of()[at]
             new = np.ones(len(at), dtype=bool)  # neighbours mostly choose the same anchor
             new[1:] = (chosen[1:] != chosen[:-1]) | (row[1:] != row[:-1])
@@ -94,45 +96,100 @@ def _profile(docs: DataFrame, window: int) -> DataFrame:
     return add_columns(docs, work, "n_words bigint, words_one bigint, words_two bigint, words_sha256 string, marks array<bigint>", ["doc_id"], ["text"])
 
 
-def _nodes(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, at, node, prefix): the windows of ``docs`` (doc_id, text, shared) whose anchor prefix is in ``shared``."""
+def _candidates(batch: pa.RecordBatch, window: int, prefix: int):
+    """For each slice: its first row, words, starts and nodes of the windows whose anchor is listed in the row's ``shared``, their anchors and rows."""
+    shared = batch.column(batch.schema.get_field_index("shared"))
+    salt = np.uint64(0x632BE59BD9B4E019)
+    for a, b, buf, bounds in slices(_text(batch)):
+        words = Words(buf, bounds)
+        at, node, chosen, _ = anchors(words, window, prefix)
+        row = words.row_of()[at]
+        lists = shared.slice(a, b - a)
+        allowed, owner = lists.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(b - a), np.diff(lists.offsets.to_numpy()))
+        good = np.isin(chosen ^ (row.astype(np.uint64) * salt), allowed ^ (owner.astype(np.uint64) * salt))
+        yield a, words, at[good], node[good], chosen[good], row[good]
+
+
+def _longer(docs: DataFrame, window: int, prefix: int, longer: int) -> DataFrame:
+    """(doc_id, prefix): the ``longer`` anchors of the windows of ``docs`` (doc_id, text, shared) whose ``prefix`` anchor is in ``shared``."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(batch.schema.get_field_index("doc_id"))
+            for a, words, at, _, _, row in _candidates(batch, window, prefix):
+                every, _, chosen, _ = anchors(words, window, longer)
+                mark = chosen[np.searchsorted(every, at)]
+                new = np.ones(len(at), dtype=bool)
+                new[1:] = (mark[1:] != mark[:-1]) | (row[1:] != row[:-1])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[new] + a)), pa.array(mark[new].view(np.int64))], names=["doc_id", "prefix"])
+
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, prefix bigint")
+
+
+def _runs(docs: DataFrame, window: int, prefix: int) -> DataFrame:
+    """(doc_id, at, run, prefix, nodes): successive windows with one short anchor, as one row each.
+
+    Only windows of ``docs`` (doc_id, text, shared) whose ``prefix`` anchor is in ``shared``. ``run`` is the
+    hash of all words from the first window to the last, ``nodes`` has the hash of each window.
+    """
 
     def run(batches):
         for batch in batches:
-            ids, shared = batch.column(batch.schema.get_field_index("doc_id")), batch.column(batch.schema.get_field_index("shared"))
-            for a, b, buf, bounds in slices(_text(batch)):
-                words = Words(buf, bounds)
-                at, node, chosen, _ = anchors(words, window, PREFIX)
-                row = words.row_of()[at]
-                lists = shared.slice(a, b - a)
-                allowed, owner = lists.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(b - a), np.diff(lists.offsets.to_numpy()))
-                salt = np.uint64(0x632BE59BD9B4E019)
-                good = np.isin(chosen ^ (row.astype(np.uint64) * salt), allowed ^ (owner.astype(np.uint64) * salt))
-                row = row[good]
+            ids = batch.column(batch.schema.get_field_index("doc_id"))
+            for a, words, at, node, _, row in _candidates(batch, window, prefix):
+                if not len(at):
+                    continue
+                every, _, chosen, _ = anchors(words, window, PREFIXES[0])
+                mark = chosen[np.searchsorted(every, at)]
+                new = np.ones(len(at), dtype=bool)
+                new[1:] = (mark[1:] != mark[:-1]) | (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)
+                first = np.flatnonzero(new)
+                last = np.concatenate([first[1:], [len(at)]]) - 1
+                total, down = words.running()
+                s, e = at[first], at[last] + window
+                whole = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(row + a)), pa.array((at[good] - words.first[row]).astype(np.int32)), pa.array(node[good].view(np.int64)), pa.array(chosen[good].view(np.int64))],
-                    names=["doc_id", "at", "node", "prefix"],
+                    [
+                        ids.take(pa.array(row[first] + a)), pa.array((s - words.first[row[first]]).astype(np.int32)), pa.array(whole.view(np.int64)), pa.array(mark[first].view(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(np.concatenate([first, [len(at)]]).astype(np.int32)), pa.array(node.view(np.int64))),
+                    ],
+                    names=["doc_id", "at", "run", "prefix", "nodes"],
                 )
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, at int, node bigint, prefix bigint")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, at int, run bigint, prefix bigint, nodes array<bigint>")
+
+
+def _lowest(rows: DataFrame, *keys: str) -> DataFrame:
+    """The smallest document of each key that two documents have; stored, so that a join with it meets two plain shuffles."""
+    return durable(rows.groupBy(*keys).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select(*keys, "low"))
+
+
+def _shared_lists(marks: DataFrame) -> DataFrame:
+    """(doc_id, shared): of each document's prefixes those that a second document has. ``marks``: doc_id, prefix."""
+    # stored, so that the join below meets two plain shuffles, which adaptive execution can split
+    shared = durable(marks.groupBy("prefix").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("prefix"))
+    return durable(marks.join(shared, "prefix").groupBy("doc_id").agg(F.collect_set("prefix").alias("shared")))
 
 
 def marked_windows(docs: DataFrame, profile: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, starts): first words of the windows of each document that also start in a smaller document.
+    """(doc_id, starts): the windows of each document that also start in a smaller document, as first words and numbers of successive windows.
 
     Only documents that stand for their words are looked at; ``profile`` is the stored ``_profile`` of ``docs``.
     """
     whole = profile.filter(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
     # a document under one id can have several texts: the texts are then searched one by one
     firsts = whole.groupBy("words_one", "words_two", "n_words").agg(F.min("doc_id").alias("doc_id"), F.first("marks").alias("marks"))
-    marks = firsts.select("doc_id", F.explode(F.array_distinct("marks")).alias("prefix"))
-    shared = marks.groupBy("prefix").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("prefix")
-    lists = durable(marks.join(shared, "prefix").groupBy("doc_id").agg(F.collect_set("prefix").alias("shared")))
-    texts = join_sized(docs.select("doc_id", "text"), lists, "doc_id", "inner", 400)
-    nodes = _nodes(texts, window)  # made twice rather than stored: a node takes more room than the text it comes from
-    lowest = nodes.groupBy("node", "prefix").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("node", "prefix", "low")
-    found = nodes.join(lowest, ["node", "prefix"]).filter("doc_id > low")
-    return found.groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
+    lists = _shared_lists(firsts.select("doc_id", F.explode(F.array_distinct("marks")).alias("prefix")))
+    plain = docs.select("doc_id", "text")
+    for prefix, longer in pairwise(PREFIXES):
+        lists = _shared_lists(durable(_longer(join_sized(plain, lists, "doc_id", "inner", 400), window, prefix, longer).distinct()))
+    runs = _runs(join_sized(plain, lists, "doc_id", "inner", 400), window, PREFIXES[-1])
+    # a run that a smaller document has too is marked whole, and is no source: that document is a better one
+    known = durable(runs.join(_lowest(runs, "run", "prefix"), ["run", "prefix"], "left"))
+    whole = known.filter("doc_id > low").select("doc_id", "at", F.size("nodes").alias("n"))
+    first = known.filter("low is null or doc_id = low").select("doc_id", "at", "prefix", F.posexplode("nodes").alias("i", "node"))
+    single = first.join(_lowest(first, "node", "prefix"), ["node", "prefix"]).filter("doc_id > low").select("doc_id", (F.col("at") + F.col("i")).alias("at"), F.lit(1).alias("n"))
+    return whole.unionByName(single).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("starts"))
 
 
 def remove_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -147,9 +204,10 @@ def remove_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         for a, b, buf, bounds in slices(_text(batch)):
             words = Words(buf, bounds)
             part = lists.slice(a, b - a)
-            at, owner = part.flatten().to_numpy(), np.repeat(np.arange(b - a), np.diff(part.offsets.to_numpy()))
-            inside = at + window <= words.counts()[owner]  # a shorter text under the same id has no such window
-            gone = covered(len(words), words.first[owner[inside]] + at[inside], window)
+            spans, owner = part.flatten(), np.repeat(np.arange(b - a), np.diff(part.offsets.to_numpy()))
+            at, length = spans.field("at").to_numpy(), spans.field("n").to_numpy() + window - 1
+            inside = at + length <= words.counts()[owner]  # a shorter text under the same id has no such window
+            gone = covered(len(words), words.first[owner[inside]] + at[inside], length[inside])
             removed.append(per_row(gone, words.first))
             first = words.first.tolist()
             raw = buf.tobytes()
