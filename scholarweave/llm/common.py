@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from scholarweave.session import BROADCAST_BYTES, durable
 
-__all__ = ["BROADCAST_BYTES", "add_columns", "durable", "join_sized", "masked", "remainder", "restored", "table"]
+__all__ = ["BROADCAST_BYTES", "add_columns", "durable", "join_lists", "join_sized", "masked", "remainder", "restored", "table"]
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -61,3 +61,19 @@ def join_sized(large: DataFrame, small: DataFrame, on: str, how: str, row_bytes:
     if small.count() * row_bytes <= BROADCAST_BYTES // 2:
         small = F.broadcast(small)
     return large.join(small, on, how)
+
+
+def join_lists(large: DataFrame, small: DataFrame, on: str, values: str, value_bytes: int) -> DataFrame:
+    """Inner join with a stored ``small`` that has an array ``values`` for each row, shipped whole if its counted bytes are under the bound.
+
+    ``value_bytes`` is the size of one value in Spark's rows: 8 for a number, 32 for a pair.
+
+    If they are not, its ids are shipped where those are, so that only rows of ``large`` with a partner are shuffled;
+    beyond that both sides are shuffled as they are. The answer is the same each way.
+    """
+    n, total = small.agg(F.count("*"), F.coalesce(F.sum(F.size(values)), F.lit(0))).first()
+    if 64 * n + value_bytes * total <= BROADCAST_BYTES // 2:
+        return large.join(F.broadcast(small), on)
+    if 64 * n <= BROADCAST_BYTES // 2:
+        large = large.join(F.broadcast(small.select(on)), on, "left_semi")
+    return large.join(small, on)

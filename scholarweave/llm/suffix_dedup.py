@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholarweave.llm.common import add_columns, durable, join_sized
+from scholarweave.llm.common import add_columns, durable, join_lists
 from scholarweave.llm.words import Words, covered, mix, per_row, slices
 
 WINDOW = 50
@@ -182,8 +182,8 @@ def marked_windows(docs: DataFrame, profile: DataFrame, window: int = WINDOW) ->
     lists = _shared_lists(firsts.select("doc_id", F.explode(F.array_distinct("marks")).alias("prefix")))
     plain = docs.select("doc_id", "text")
     for prefix, longer in pairwise(PREFIXES):
-        lists = _shared_lists(durable(_longer(join_sized(plain, lists, "doc_id", "inner", 400), window, prefix, longer).distinct()))
-    runs = _runs(join_sized(plain, lists, "doc_id", "inner", 400), window, PREFIXES[-1])
+        lists = _shared_lists(durable(_longer(join_lists(plain, lists, "doc_id", "shared", 8), window, prefix, longer).distinct()))
+    runs = _runs(join_lists(plain, lists, "doc_id", "shared", 8), window, PREFIXES[-1])
     # a run that a smaller document has too is marked whole, and is no source: that document is a better one
     known = durable(runs.join(_lowest(runs, "run", "prefix"), ["run", "prefix"], "left"))
     whole = known.filter("doc_id > low").select("doc_id", "at", F.size("nodes").alias("n"))
@@ -196,7 +196,7 @@ def remove_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (the words left, joined by one space; null where nothing was removed) of each document."""
     profile = durable(_profile(docs.select("doc_id", "text"), window))
     starts = durable(marked_windows(docs, profile, window))
-    texts = join_sized(docs.select("doc_id", "text"), starts, "doc_id", "inner", 1600)
+    texts = join_lists(docs.select("doc_id", "text"), starts, "doc_id", "starts", 32)
 
     def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         removed, digest, kept, whole = [], [], [], []
