@@ -360,3 +360,16 @@ def test_pipeline_stages(spark, docs, tmp_path):
         made.write.parquet(f"{tmp_path}/{name}")
         kept = spark.read.parquet(f"{tmp_path}/{name}")
         assert kept.columns == docs.columns
+
+
+def test_joins_agree_at_every_size(spark, monkeypatch):
+    from scholarweave.llm import common
+
+    large = spark.createDataFrame([(i, f"t{i}") for i in range(20)], "doc_id long, text string")
+    small = spark.createDataFrame([(3, [1, 2]), (5, []), (99, [7])], "doc_id long, shared array<long>")
+    found = []
+    for bound in (1 << 26, 2 * 64 * 3, 0):  # lists shipped, ids shipped, both sides shuffled
+        monkeypatch.setattr(common, "BROADCAST_BYTES", bound)
+        found.append(sorted(map(str, common.join_lists(large, small, "doc_id", "shared", 8).collect())))
+        assert sorted(r["doc_id"] for r in common.join_sized(large, small, "doc_id", "left_semi", 64).collect()) == [3, 5]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 2
