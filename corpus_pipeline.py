@@ -27,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the runs of lines that stand earlier; one of which nothing but blanks is left goes."""
+    """Documents without the runs of lines and the long lines that stand earlier; one of which nothing but blanks is left goes."""
     plain, back = masked(docs, "doc_id", "text")
     cut = line_dedup.remove_repeats(plain)
     emptied = (F.btrim("text", F.lit(" \t\r\n\x0b\x0c")) == "") & (F.col("n_removed") > 0)

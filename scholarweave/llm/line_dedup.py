@@ -1,4 +1,4 @@
-"""Removal of repeated runs of lines by winnowing, in DataFrame functions only.
+"""Removal of repeated runs of lines and of repeated long lines by winnowing, in DataFrame functions only.
 
 A line is a piece between ``\\n``; it is compared without the blanks around it, and lines
 of blanks only stay where they are and take no part. In every window of ``run`` lines the
@@ -10,6 +10,9 @@ of each window (by document id, then line) is found by one aggregation and every
 to it. A line is removed if a window that covers it has an earlier place. So each repeated
 run of ``run`` lines or more goes except where it stands first, without forming pairs.
 
+A line of ``alone`` words or more, or of ``CHARACTERS`` in writing without blanks, is a window of its own: it goes wherever it
+stands later, whatever its neighbours are. ``alone`` of None leaves runs only.
+
 Both aggregations combine before the shuffle, both joins are plain equi-joins that adaptive execution splits.
 
 Defined results: null ids or null texts are passed through and are never sources; an empty
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 from scholarweave.llm.common import masked
 
 RUN = 2
+ALONE = 10
+CHARACTERS = 100
 _BLANK = " \t\r\x0b\x0c"
 
 
@@ -34,43 +39,58 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _used(lines: Column) -> Column:
-    """(number, hash) of the lines that are not blank."""
+def _long(line: Column, alone: int) -> Column:
+    """Whether a line without blanks around it counts by itself; ten words need nineteen characters."""
+    return (F.length(line) >= CHARACTERS) | ((F.length(line) >= 2 * alone - 1) & (F.size(F.split(line, f"[{_BLANK}]+")) >= alone))
+
+
+def _used(lines: Column, alone: int | None = None) -> Column:
+    """(number, hash, long) of the lines that are not blank."""
     trimmed = F.transform(lines, lambda x, i: F.struct(i.alias("no"), F.btrim(x, F.lit(_BLANK)).alias("line")))
-    return F.transform(F.filter(trimmed, lambda x: x.line != ""), lambda x: F.struct(x.no.alias("no"), F.xxhash64(x.line).alias("code")))
+    return F.transform(F.filter(trimmed, lambda x: x.line != ""), lambda x: F.struct(x.no.alias("no"), F.xxhash64(x.line).alias("code"), (F.lit(False) if alone is None else _long(x.line, alone)).alias("long")))
 
 
-def repeated_windows(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """(doc_id, version, at): windows of ``run`` used lines that have an earlier place; ``at`` counts used lines from 0."""
+def repeated_windows(docs: DataFrame, run: int = RUN, alone: int | None = ALONE) -> DataFrame:
+    """(doc_id, version, at, n): windows of ``run`` used lines, or of one long line, that have an earlier place; ``at`` counts used lines from 0."""
     known = docs.filter("doc_id is not null and text is not null")
-    rows = known.select("doc_id", F.xxhash64("text").alias("version"), _used(_lines(F.col("text"))).code.alias("codes")).filter(F.size("codes") >= run)
+    used = known.select("doc_id", F.xxhash64("text").alias("version"), _used(_lines(F.col("text")), alone).alias("used"))
+    rows = used.select("doc_id", "version", F.col("used.code").alias("codes"), F.col("used.long").alias("longs")).filter((F.size("codes") >= run) | F.array_contains("longs", True))
 
     def chosen(at: Column) -> Column:
         part = F.slice("codes", at + 1, run)
         least = F.array_min(part)
         # the last place of the smallest hash: equal windows choose alike, neighbours choose the same place
-        return F.struct(least.alias("mark"), (at + run - F.array_position(F.reverse(part), least)).alias("place"), at.alias("at"), F.xxhash64(part).alias("a"), F.xxhash64(F.lit(1), part).alias("b"))
-
-    windows = rows.select("doc_id", "version", F.explode(F.transform(F.sequence(F.lit(0), F.size("codes") - run), chosen)).alias("w")).select("doc_id", "version", "w.*")
+        return F.struct(least.alias("mark"), (at + run - F.array_position(F.reverse(part), least)).alias("place"), at.alias("at"), F.lit(run).alias("n"), F.xxhash64(part).alias("a"), F.xxhash64(F.lit(1), part).alias("b"))
+
+    def single(at: Column) -> Column:
+        code = F.get("codes", at)
+        return F.struct(code.alias("mark"), at.cast("long").alias("place"), at.alias("at"), F.lit(1).alias("n"), F.xxhash64(F.array(code)).alias("a"), F.xxhash64(F.lit(1), F.array(code)).alias("b"))
+
+    every = F.sequence(F.lit(0), F.size("codes") - 1)
+    starts = F.when(F.size("codes") >= run, F.sequence(F.lit(0), F.size("codes") - run)).otherwise(F.array().cast("array<int>"))
+    made = F.transform(starts, chosen)
+    if alone is not None and run > 1:
+        made = F.concat(made, F.transform(F.filter(every, lambda at: F.get("longs", at)), single))
+    windows = rows.select("doc_id", "version", F.explode(made).alias("w")).select("doc_id", "version", "w.*")
     # a window is counted where its place is chosen for the first time, so that the count is of places
-    places = rows.select(F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("codes") - run), lambda at: F.struct(chosen(at)["mark"].alias("mark"), chosen(at)["place"].alias("place"))))).alias("f"))
+    places = rows.select(F.explode(F.array_distinct(F.transform(made, lambda w: F.struct(w["mark"].alias("mark"), w["place"].alias("place"))))).alias("f"))
     shared = places.groupBy(F.col("f.mark").alias("mark")).count().filter("count > 1").select("mark")
-    candidates = windows.join(shared, "mark", "left_semi").select("a", "b", "doc_id", "version", "at")
+    candidates = windows.join(shared, "mark", "left_semi").select("a", "b", "doc_id", "version", "at", "n")
     place = F.struct("doc_id", "version", "at")
     first = candidates.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("a", "b", "first")
-    return candidates.join(first, ["a", "b"]).filter(place > F.col("first")).select("doc_id", "version", "at")
+    return candidates.join(first, ["a", "b"]).filter(place > F.col("first")).select("doc_id", "version", "at", "n")
 
 
-def remove_repeats(docs: DataFrame, run: int = RUN, counts: bool = True) -> DataFrame:
-    """``docs`` with the repeated runs cut out of ``text``; with ``n_lines`` and ``n_removed`` if ``counts``."""
+def remove_repeats(docs: DataFrame, run: int = RUN, counts: bool = True, alone: int | None = ALONE) -> DataFrame:
+    """``docs`` with the repeated runs and long lines cut out of ``text``; with ``n_lines`` and ``n_removed`` if ``counts``."""
     plain, back = masked(docs, "doc_id", "text")
-    found = repeated_windows(plain, run).groupBy("doc_id", "version").agg(F.collect_set("at").alias("_starts"))
+    found = repeated_windows(plain, run, alone).groupBy("doc_id", "version").agg(F.collect_set(F.struct("at", "n")).alias("_starts"))
     found = found.withColumnsRenamed({"doc_id": "_of", "version": "_as"})
     whole = plain.withColumn("_version", F.xxhash64("text")).join(found, (F.col("doc_id") == F.col("_of")) & (F.col("_version") == F.col("_as")), "left")
     # one projection each, so that the arrays are built once
     split = whole.withColumn("_lines", _lines(F.col("text")))
     numbered = split.withColumn("_numbers", F.when(F.col("_starts").isNotNull(), _used(F.col("_lines")).no))
-    gone = numbered.withColumn("_gone", F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.slice("_numbers", s + 1, run)))))
+    gone = numbered.withColumn("_gone", F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.slice("_numbers", s["at"] + 1, s["n"])))))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
     cut = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
     n_lines = F.when(F.col("text").isNotNull(), F.size("_lines")).otherwise(0).cast("long")

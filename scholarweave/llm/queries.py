@@ -22,7 +22,8 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Runs of two lines at least, as its SQL has them; the pipeline stage also cuts single long lines."""
+    return line_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), alone=None)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -207,6 +207,28 @@ def test_line_runs(spark):
         assert {r["doc_id"]: r["text"] for r in made} == want
 
 
+def test_long_lines_go_alone(spark):
+    """Against brute force: a long line is a run of its own, also in a text of one line; shorter ones go in runs of two."""
+    long, short, cjk = " ".join(f"w{i}" for i in range(10)), " ".join(f"w{i}" for i in range(9)), "\u96fb\u6c60" * 50
+    rng = random.Random(8)
+    rows = [(d, "\n".join(rng.choice([long, f" {long}\t", short, cjk, f"{d} x", "a", ""]) for _ in range(rng.randrange(1, 7)))) for d in range(40)] + [(100, long), (101, short), (102, f"p\n{cjk}\nq")]
+    first, want = {}, {}
+    for doc, text in rows:
+        used = [(i, x.strip(" \t")) for i, x in enumerate(text.split("\n")) if x.strip(" \t")]
+        gone = set()
+        for run in (1, 2):
+            for p in range(len(used) - run + 1):
+                key = tuple(x for _, x in used[p : p + run])
+                if (run == 2 or key[0] in (long, cjk)) and first.setdefault(key, (doc, p)) != (doc, p):
+                    gone.update(i for i, _ in used[p : p + run])
+        want[doc] = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
+    assert want[100] == "" and want[101] == short and want[102] == "p\nq"
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in line_dedup.remove_repeats(table).collect()} == want
+    stage = dict(corpus_pipeline.STAGES)["line_dedup"](spark, table, SF_DIR)
+    assert {r["doc_id"]: r["text"] for r in stage.collect()} == {d: t for d, t in want.items() if t.strip() or t == dict(rows)[d]}
+
+
 def test_packing_rule():
     rng = random.Random(8)
     sizes = sorted((rng.randrange(1, 4096) for _ in range(500)), reverse=True)
