@@ -4,8 +4,10 @@ A page is a row of tokens, words and tags. Words score above zero and tags below
 largest sum (one linear scan) is the main text. The weights are log-odds of each kind being inside the content, counted
 on labelled pages: those that mark their content themselves with ``<article>`` or ``<main>``, at most
 ``Settings.sample`` of them, chosen by a hash of the page id. The marks are not tokens, so pages without
-them are scored alike. Elements that are never article text (menus, page headers, footers, asides, forms, scripts, and
-elements named as adverts, notices or comments) are no words; each is one more tag of its kind.
+them are scored alike. Elements that are never article text (menus, page headers, footers, asides, forms, scripts, hidden
+elements) are no words; each is one more tag of its kind. So are elements by their names: inside marked content those with
+a whole class, id or role for adverts, notices or comments; on pages without marks those with a whole one of ``_NAMES``;
+outside the marks of a page also those with a part of a name. Any other element is left to the weights.
 
 Words of the stretch are put out as blocks: character references decoded, white space
 inside a block made one space, blocks joined by one space. Nothing else is dropped or cut.
@@ -35,8 +37,9 @@ _TOKEN = re.compile(
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^\"'>])*)(?:>|\Z)",
     re.S | re.I,
 )
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!\s*important\s*)?(?:;|$)")
+_MARK = re.compile(r"<(?:article|main)[\s>]", re.I)
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -48,6 +51,9 @@ _NAMES = frozenset(
     "sidebar footer header masthead topbar comment comments disqus respond replies reply form newsletter subscribe signup login search share sharing social related recommended "
     "breadcrumb breadcrumbs pagination pager popup modal overlay widget toolbar skip legal copyright complementary contentinfo".split()
 )
+_ADVERTS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices comment comments disqus respond replies reply".split()
+)
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _LISTS = frozenset("li ul ol dl dt dd".split())
 _TABLES = frozenset("table tr td th tbody thead tfoot".split())
@@ -75,16 +81,20 @@ def _kind(name: str) -> str:
     return "inline" if name in _INLINE else "other"
 
 
-def _excluded(name: str, attributes: str, in_content: bool) -> bool:
+def _excluded(name: str, attributes: str, in_content: bool, has_marks: bool) -> bool:
     if name in _NEVER or (name == "header" and not in_content):
         return True
     if name in _MARKED or name in ("body", "html"):
         return False
-    if attributes:
-        for found in _NAMED.findall(attributes):
-            if _NAMES.intersection(re.split(r"[^a-z0-9]+", "".join(found).lower())):
+    for found in _ATTRIBUTE.finditer(attributes):
+        key, value = found[1].lower(), (found[2] or found[3] or found[4] or "").lower()
+        if key == "hidden" or (key == "aria-hidden" and value.strip() == "true") or (key == "style" and _NOT_SHOWN.search(value)):
+            return True
+        if key in ("class", "id", "role"):
+            # inside the content only what is named for it; outside the marks of a page parts of names do
+            loose = has_marks and not in_content
+            if (_ADVERTS if in_content else _NAMES).intersection(re.split(r"[^a-z0-9]+", value) if loose else value.split()):
                 return True
-        return bool(_HIDDEN.search(attributes))
     return False
 
 
@@ -98,6 +108,7 @@ def tokens(page: str) -> tuple[list[tuple[str, str | None, int]], list[bool]]:
     stack: list[tuple[str, bool]] = []  # open elements, and whether they are excluded
     excluded = marked = links = headings = lists = 0
     block, last = 0, 0
+    has_marks = _MARK.search(page) is not None
 
     def add(kind: str, text: str | None) -> None:
         out.append((kind, text, block))
@@ -139,7 +150,7 @@ def tokens(page: str) -> tuple[list[tuple[str, str | None, int]], list[bool]]:
             continue
         if excluded and name in _RESET:
             leave(next(i for i, (_, bad) in enumerate(stack) if bad))
-        bad = _excluded(name, m["attributes"], marked > 0)
+        bad = _excluded(name, m["attributes"], marked > 0, has_marks)
         if bad and not excluded:
             add("excluded", None)
         elif name == "br":

@@ -346,6 +346,24 @@ def test_pages_without_marks():
     assert html_main.extract(page, weight) == "Title Some bold words here and more of them. Tail é."
 
 
+@pytest.mark.parametrize("opening", [
+    "div class='overflow-hidden'", "div style='overflow:hidden'", "div class='hidden-xs'", "div aria-hidden='false'", "div data-hidden=1", "div style='x-display:none'",
+    "div class='article-header'", "section id='related-work'", "div class='search-results-analysis'", "div class='legal'", "div data-id='ad'",
+])
+def test_elements_of_an_article_stay(opening):
+    name = opening.split()[0]
+    for page in (f"<article><p>one two</p><{opening}><p>three four</p></{name}></article>", f"<{opening}><article><p>one two</p><p>three four</p></article></{name}>"):
+        assert html_main.extract(page, {"w": 3.0, "div": -0.1, "/div": -0.1, "section": -0.1, "/section": -0.1}) == "one two three four"
+    if "'legal'" not in opening:  # as a whole name it is excluded where no mark says otherwise
+        assert html_main.extract(f"<{opening}><p>three four</p></{name}>", {"w": 3.0}) == "three four"
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "HIDDEN=''", "aria-hidden=true", "style='color:red; Display : none !important'", "class='big ad'", "id=comments", "class='cookie'"])
+def test_hidden_and_advert_elements_go(attributes):
+    for around in ("article", "div"):
+        assert html_main.extract(f"<{around}><p>one two</p><div {attributes}>three</div><p>four five</p></{around}>", {"w": 3.0}) == "one two four five"
+
+
 def test_best_stretch():
     rng = random.Random(3)
     for _ in range(200):
