@@ -80,6 +80,36 @@ def test_betweenness_is_exact_unless_asked(spark):
     assert all(abs(exact[i] - 2 * i * (11 - i) / (11 * 10)) < 1e-9 for i in range(12))
 
 
+def test_semantic_betweenness_counts_every_node(spark):
+    from scholarweave.plans import search
+
+    nodes, edges = search.semantic_graph(spark, "/root/testdata/sf0.001", 3)
+    around = {r["id"]: set() for r in nodes.collect()}
+    for r in edges.collect():
+        around[r["src"]].add(r["dst"])
+        around[r["dst"]].add(r["src"])
+    want = dict.fromkeys(around, 0.0)
+    for s in around:
+        far, paths, order = {s: 0}, {s: 1.0}, [s]
+        for v in order:
+            for w in around[v]:
+                if w not in far:
+                    far[w] = far[v] + 1
+                    order.append(w)
+                if far[w] == far[v] + 1:
+                    paths[w] = paths.get(w, 0.0) + paths[v]
+        dep = dict.fromkeys(order, 0.0)
+        for w in reversed(order[1:]):
+            for v in around[w]:
+                if far[v] == far[w] - 1:
+                    dep[v] += paths[v] / paths[w] * (1 + dep[w])
+            want[w] += dep[w]
+    n = len(around)
+    found = {r["id"]: r["centrality"] for r in search.betweenness_semantic(spark, "/root/testdata/sf0.001").collect()}
+    assert n > 100 and set(found) == set(want)
+    assert all(abs(found[v] - want[v] / ((n - 1) * (n - 2))) < 2e-6 for v in want)
+
+
 def test_communities_find_cliques(spark):
     edges = [(a, b) for base in (0, 10, 20) for a in range(base, base + 5) for b in range(a + 1, base + 5)] + [(4, 10), (14, 20)]
     found = communities.communities(spark.createDataFrame([(i,) for base in (0, 10, 20) for i in range(base, base + 5)], "id long"), spark.createDataFrame(edges, "src long, dst long"))
