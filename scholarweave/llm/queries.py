@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarweave.llm import chat, decontaminate, html_main, langid, line_dedup, near_dedup, packing, quality_gam, repetition, suffix_dedup
+from scholarweave.llm import (
+    chat, decontaminate, filter_audit, hard_negatives, html_main, langid, line_dedup, near_dedup, packing, pieces, quality_gam, repetition, suffix_dedup,
+)
 from scholarweave.llm.common import remainder, table
 
 KEEP_FROM = 0.3
@@ -68,6 +70,27 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
+    return filter_audit.audit(filter_audit.counters(spark, f"{sf_dir}/documents.parquet", labels, {"id": "doc_id", "part": "lang", "text": "text"}))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, ["doc_id"])
+    decoded = pieces.decode(encoded, model, ["doc_id", "ids"])
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    given = table(spark, sf_dir, "embeddings").select(vec_id.alias("id"), F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"), F.col("embedding").alias("v"))
+    return hard_negatives.mine(hard_negatives.integers(given), F.col("id") % 50 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,7 +101,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_line_dedup, op3_best_fit_packing, op4_quality_rules, op5_html_extraction, op6_substring_dedup, op7_language_id, op8_chat_formatting,
-        op9_benchmark_decontamination, op10_minhash_near_dedup, pipeline,
+        op9_benchmark_decontamination, op10_minhash_near_dedup, op11_filter_interaction_audit, op12_sentencepiece, op13_hard_negatives, pipeline,
     )
 }
 
@@ -174,3 +197,33 @@ least_id as (select x, least(x, min(y)) as m from reach group by x)
 select d.doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(m, d.doc_id) as component_id, coalesce(m, d.doc_id) = d.doc_id as kept
 from d left join sizes s on d.doc_id = s.doc_id left join least_id l on d.doc_id = l.x
 """
+
+SQL["op11_filter_interaction_audit"] = r"""
+with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+known as (select doc_id, coalesce(bool_or(quality = 1), false) as good, coalesce(bool_or(toxic = 1), false) as toxic from labels group by doc_id),
+m as (select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+  [('A', len(w) < 100), ('B', 100 * len(list_distinct(w)) < 80 * len(w)), ('C', 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t)),
+   ('D', regexp_matches(t, '[#$%&*|]')), ('E', coalesce(d.doc_id > min(d.doc_id) over (partition by t), false))] as f
+  from d left join known k on d.doc_id = k.doc_id),
+fails as (select part, good, toxic, list_transform(list_filter(f, lambda x: x[2]), lambda x: x[1]) as f, count(*) as n from m group by all),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (select a.x || b.x || c.x || d.x || e.x as filter_order from letters a, letters b, letters c, letters d, letters e
+  where length(list_aggregate(list_distinct([a.x, b.x, c.x, d.x, e.x]), 'string_agg', '')) = 5),
+steps as (select filter_order, step::integer as step, filter_order[step:step] as own, string_split(filter_order[1:step - 1], '') as before from orders, unnest(range(1, 6)) u(step)),
+each as (select part, filter_order, step, own, good, toxic, n, list_contains(f, own) as failed, list_has_any(f, before) as earlier, len(f) = 1 as only_one from fails, steps),
+counted as (select part, filter_order, step, own, coalesce(sum(n) filter (not failed and not earlier), 0)::bigint as kept, coalesce(sum(n) filter (failed and not earlier), 0)::bigint as removed,
+  coalesce(sum(n) filter (failed and earlier), 0)::bigint as redundant, coalesce(sum(n) filter (failed and only_one), 0)::bigint as unique_fails,
+  coalesce(sum(n) filter (failed and not earlier and good), 0)::bigint as good_lost, coalesce(sum(n) filter (failed and not earlier and toxic), 0)::bigint as toxic_lost from each group by all)
+select * exclude (own), sum(removed) over (partition by part, own)::bigint as shapley from counted
+"""
+
+SQL["op13_hard_negatives"] = r"""
+with given as (select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (select a.vec_id as anchor_id, a.label = b.label as same, b.vec_id as id, list_sum(list_transform(list_zip(a.v, b.v), lambda x: coalesce(x[1], 0) * coalesce(x[2], 0)))::bigint as score
+  from given a join given b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+positives as (select anchor_id, id as positive_id, score as positive_score from scores where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select p.anchor_id, positive_id, row_number() over (partition by p.anchor_id, positive_id order by n.score desc, n.id)::integer as rank, n.id as negative_id, positive_score, n.score as negative_score
+from positives p join scores n on p.anchor_id = n.anchor_id and not n.same and 50 * positive_score <= 100 * n.score and 100 * n.score <= 95 * positive_score
+qualify row_number() over (partition by p.anchor_id, positive_id order by n.score desc, n.id) <= 3
+"""
