@@ -28,7 +28,6 @@ def build_session(master: str | None = None, app: str = "scholarweave", **conf:
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
@@ -39,7 +38,7 @@ def build_session(master: str | None = None, app: str = "scholarweave", **conf:
 
 
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Take the folder that the cluster names; without one, a folder in the warehouse, which all executors share too."""
+    """Take the folder that the cluster names. Without one, a local session gets a folder in its warehouse; on a cluster that must be a shared store."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
@@ -48,7 +47,10 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(shared)
         return
     own = context._jvm.org.apache.hadoop.fs.Path(spark.conf.get("spark.sql.warehouse.dir"), f"_checkpoints-{uuid.uuid4().hex}")
-    own.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(own)
+    files = own.getFileSystem(context._jsc.hadoopConfiguration())
+    if files.getScheme() == "file" and not context.master.startswith("local"):
+        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
+    files.deleteOnExit(own)
     context.setCheckpointDir(own.toString())
 
 
@@ -62,14 +64,29 @@ def rounds(limit: int | None = None) -> Iterator[int]:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's checkpoint folder and forget its lineage.
+    """Write ``df`` as a table in the cluster's checkpoint folder and read it from there.
 
     Used where a result is read more than once and must not be computed differently
-    the second time (sampled range bounds), and between rounds of a loop. The copy is
-    replicated storage, so it outlives the executors that wrote it.
+    the second time (sampled range bounds), and between rounds of a loop. The table is in
+    replicated storage, so it outlives the executors that wrote it. Its lineage is forgotten and so are the
+    estimates of its size: joins of the next round are planned on what was written, and only the columns they need are read.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch(spark, "stage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(*frames: DataFrame | None) -> None:
+    """Delete the tables of ``durable`` frames that a loop has left behind; nothing may read them any more."""
+    for df in frames:
+        if df is None:
+            continue
+        context = df.sparkSession.sparkContext
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if folder.rsplit("/", 1)[-1].startswith("stage-"):
+                path = context._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
