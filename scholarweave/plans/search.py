@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scholarweave.functions import encoding
-from scholarweave.operators import centrality, communities, components, graph_stats, vectors
+from scholarweave.operators import centrality, communities, components, graph_stats, ivf, vectors
 from scholarweave.operators.ranking import distribution, group_rank
 from scholarweave.plans.builders import citation_graph, collaboration_graph
 from scholarweave.plans.sql_views import AUTH, COLLAB, with_views
+from scholarweave.session import durable, scratch
 from scholarweave.sources import tables as t
 
 
@@ -47,6 +48,33 @@ def vector_l2(spark, d):
     return _round(vectors.search(t.vectors(spark, d), label_queries(spark, d), 10, metric="l2"), "similarity")
 
 
+# These vectors are spread evenly in all directions, so most lists have to be read for nine tenths of the neighbours.
+IVF_LISTS, IVF_PROBES, IVF_ROUNDS = 16, 12, 3
+
+
+def vector_index(spark, d):
+    """The given vectors filed under centroids of three rounds; the folder of the index."""
+    store, path = t.vectors(spark, d), scratch(spark, "ivf")
+    ivf.write_index(store, ivf.train(store, IVF_LISTS, IVF_ROUNDS, tolerance=0.0), path)
+    return path
+
+
+def ivf_assignment(spark, d):
+    return spark.read.parquet(f"{vector_index(spark, d)}/vectors").select("node_id", "list")
+
+
+def ivf_search(spark, d):
+    return _round(ivf.search_index(spark, vector_index(spark, d), label_queries(spark, d), 10, 4), "similarity")
+
+
+def ivf_recall(spark, d):
+    """Share of each vector's ten nearest others that its probed lists give; the vector itself is the eleventh."""
+    queries = t.vectors(spark, d).select(F.col("node_id").alias("query_id"), "embedding")
+    found = ivf.search_index(spark, vector_index(spark, d), queries, 11, IVF_PROBES)
+    exact = vectors.neighbours(t.vectors(spark, d), 10).select(F.col("src").alias("query_id"), F.col("dst").alias("node_id"))
+    return ivf.recall(found, exact).agg(F.count("*").alias("queries"), F.round(F.avg("recall"), 4).alias("recall"), (F.avg("recall") >= 0.9).alias("enough"))
+
+
 def mean_vector_search(spark, d):
     means = vectors.mean_vector(t.vectors(spark, d).withColumnRenamed("node_type", "query_id"), ["query_id"])
     return _round(vectors.search(t.vectors(spark, d), means, 15), "similarity")
@@ -145,6 +173,14 @@ def louvain_communities(spark, d):
     return communities.communities(*semantic_graph(spark, d, 5))
 
 
+def louvain_stable(spark, d):
+    """Nodes of the graph with their weights and whether no move out of its community would raise modularity."""
+    nodes, edges = semantic_graph(spark, d, 5)
+    edges = durable(edges)
+    moves = communities.single_moves(edges, communities.communities(nodes, edges))
+    return moves.select("id", F.col("k").alias("weight"), (F.col("gain") <= communities.ROUNDING * 4).alias("stable"))
+
+
 def text_encoding(spark, d):
     rows = t.table(spark, d, "documents").select("doc_id", encoding.encode(F.col("text")).alias("v"))
     return rows.select("doc_id", F.posexplode("v").alias("pos", "x")).filter("x <> 0").select("doc_id", "pos", F.round(F.col("x").cast("double"), 4).alias("x"))
@@ -169,11 +205,11 @@ def passage_retrieval(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        knn_topk_per_node, similarity_top_percent, vector_search, vector_search_filtered, seed_search, vector_l2,
+        knn_topk_per_node, similarity_top_percent, ivf_assignment, ivf_search, ivf_recall, vector_search, vector_search_filtered, seed_search, vector_l2,
         mean_vector_search, vector_normalize, node_embedding, vector_store_info, embedding_counts, pairwise_similarity,
         similarity_distribution, semantic_edges_ranked, semantic_degrees, connected_components, component_sizes,
         citation_components, scc_sizes, clustering_coefficient, transitivity, eigenvector_centrality,
-        betweenness_centrality, betweenness_semantic, louvain_communities, text_encoding, chunking, passage_retrieval,
+        betweenness_centrality, betweenness_semantic, louvain_communities, louvain_stable, text_encoding, chunking, passage_retrieval,
     )
 }
 
@@ -209,6 +245,21 @@ loc AS (SELECT id, degree, CAST(coalesce(triangles, 0) AS BIGINT) AS triangles,
   CASE WHEN degree > 1 THEN 2.0 * coalesce(triangles, 0) / (degree * (degree - 1.0)) ELSE 0.0 END AS clustering FROM deg LEFT JOIN tri USING (id))"""
 
 
+def filed(lists, rounds):
+    """Lloyd rounds from the vectors of smallest hash: ``own`` has the list of every vector, ``cen`` the last centroids."""
+    unit = "list_transform({v}, lambda x: x / sqrt(list_sum(list_transform({v}, lambda y: y * y))))"
+    near = "SELECT id, u, c.list, row_number() OVER (PARTITION BY id ORDER BY round(list_inner_product(u, c.v), 9) DESC, c.list) AS r FROM n, {c} c"
+    steps = [E_, f"n AS MATERIALIZED (SELECT id, ty, {unit.format(v='v')} AS u FROM e WHERE list_sum(list_transform(v, lambda y: y * y)) > 0)",
+             f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR)), id) AS INTEGER) - 1 AS list, u AS v FROM n ORDER BY md5(CAST(id AS VARCHAR)), id LIMIT {lists})"]
+    for i in range(rounds):
+        steps.append(f"a{i} AS ({near.format(c=f'c{i}')} QUALIFY r = 1)")
+        steps.append(f"s{i} AS (SELECT list, list(x ORDER BY p) AS v FROM (SELECT list, p, sum(x) AS x FROM (SELECT list, unnest(u) AS x, generate_subscripts(u, 1) AS p FROM a{i}) GROUP BY 1, 2) GROUP BY 1)")
+        steps.append(f"c{i + 1} AS MATERIALIZED (SELECT c{i}.list, CASE WHEN s{i}.v IS NULL THEN c{i}.v ELSE {unit.format(v=f's{i}.v')} END AS v FROM c{i} LEFT JOIN s{i} USING (list))")
+    steps.append(f"ranked AS MATERIALIZED ({near.format(c=f'c{rounds}')})")
+    steps.append("own AS (SELECT id, u, list FROM ranked WHERE r = 1)")
+    return ",\n".join(steps)
+
+
 def power_rounds(n):
     """n rounds of the iteration, and the first of them whose total change is below 0.001 for each node."""
     steps = ["x0 AS (SELECT s_suppkey AS id, 1.0::DOUBLE / (SELECT count(*) FROM supplier) AS x, NULL::DOUBLE AS change FROM supplier)"]
@@ -236,6 +287,18 @@ SQL = {
     "vector_search_filtered": searching(20, where="ty IN ('t1', 't2', 't3')"),
     "seed_search": searching(20, where="ty IN ('t0', 't5', 't9')") + " AND sim >= 0.1",
     "vector_l2": searching(10, score="1 / (1 + list_distance(q.v, e.v))"),
+    "ivf_assignment": f"WITH {filed(IVF_LISTS, IVF_ROUNDS)} SELECT id AS node_id, list FROM own",
+    "ivf_search": f"""WITH {filed(IVF_LISTS, IVF_ROUNDS)}, q AS (SELECT min(id) AS id, ty FROM e GROUP BY 2),
+f AS (SELECT q.ty AS query_id, own.id AS node_id, list_inner_product(p.u, own.u) AS sim FROM q JOIN ranked p ON p.id = q.id AND p.r <= 4 JOIN own ON own.list = p.list),
+g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, node_id) AS rk FROM f)
+SELECT query_id, node_id, round(sim, 6) AS similarity, CAST(rk AS INTEGER) AS rank FROM g WHERE rk <= 10""",
+    "ivf_recall": f"""WITH {filed(IVF_LISTS, IVF_ROUNDS)}, {nearest(10).removeprefix(E_ + ', ')},
+f AS (SELECT p.id AS src, own.id AS dst, row_number() OVER (PARTITION BY p.id ORDER BY round(list_inner_product(p.u, own.u), 9) DESC, own.id) AS rk
+  FROM ranked p JOIN own ON own.list = p.list WHERE p.r <= {IVF_PROBES}),
+h AS (SELECT nn.src, count(f.dst) / count(*) AS recall FROM nn LEFT JOIN f ON f.src = nn.src AND f.dst = nn.dst AND f.rk <= 11 GROUP BY 1)
+SELECT count(*) AS queries, round(avg(recall), 4) AS recall, avg(recall) >= 0.9 AS enough FROM h""",
+    "louvain_stable": f"""WITH {nearest(5)}, w AS (SELECT src AS id FROM nn UNION ALL SELECT dst FROM nn)
+SELECT id, CAST(count(*) AS DOUBLE) AS weight, true AS stable FROM w GROUP BY 1""",
     "mean_vector_search": searching(15, queries=MEANQ),
     "vector_normalize": """SELECT vec_id AS node_id, round(vec_id % 3 * sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 4) AS length,
    CASE WHEN vec_id % 3 > 0 THEN 1.0::DOUBLE END AS unit_length FROM embeddings""",
