@@ -49,8 +49,13 @@ def add_columns(df: DataFrame, work: Callable[[pa.RecordBatch], dict[str, pa.Arr
             arrays = [batch.column(batch.schema.get_field_index(c)) for c in keep] + list(made.values())
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *made])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
-    return df.select(*columns).mapInArrow(run, f"{kept}, {schema}")
+    chosen = df.select(*[F.col(_quoted(c)) for c in columns])
+    kept = ", ".join(f"{_quoted(c)} {chosen.schema[c].dataType.simpleString()}" for c in keep)
+    return chosen.mapInArrow(run, f"{kept}, {schema}" if keep else schema)
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def join_sized(large: DataFrame, small: DataFrame, on: str, how: str, row_bytes: int) -> DataFrame:

@@ -1,14 +1,12 @@
-"""SentencePiece encoding by a table of distinct chunks, and decoding.
+"""SentencePiece encoding by a table of distinct marked words, and decoding.
 
-Where no piece of the vocabulary goes on past a place in a text, the text can be cut there without changing its pieces. Pieces hold
-white space markers only in front, so a marked word (markers and what follows them up to the next marker) is segmented by
-itself. The vocabulary is examined for more such places: characters that are in no longer piece, and, where no piece mixes them, the
-places between letters and other characters. What lies between two places is a chunk.
-
-All distinct chunks of the corpus are counted (tasks add up before the shuffle) and each is segmented once by the sentencepiece library.
-Frequent chunks, at most ``Settings.shipped`` of at most ``Settings.long`` bytes, go to all tasks as a table. The others
-are joined: every text names the places of those it has, the ids are joined to the places by chunk, and the text is put
-together from both. No chunk that is joined is frequent, so no key is hot. A text travels once, compressed; texts that are equal share their places.
+Where no piece of the vocabulary goes on past a white space marker, a text can be cut before its markers without changing its pieces: each marked word
+(markers and what follows them) is segmented by itself. All distinct marked words of the corpus are counted; tasks add up
+before the shuffle. Those that occur most often, at most ``Settings.shipped`` of at most ``Settings.long`` bytes, are segmented once by the
+sentencepiece library and go to all tasks as a table; nine tenths of a text are in it. The others are segmented once by each task that meets them, which
+remembers them while there is room. The ids of the words are put together by their places. Texts never move, so
+no key can be hot, and the only shuffle is that of the counts. (Joining the rare words back by place was tried: texts and places had to
+be shuffled, which took over 4.4 times the input on disk, where 1.5 is allowed.)
 
 Encoding is without begin and end ids and without sampling; decoding is the library's own, on whole lists of ids.
 
@@ -31,57 +29,52 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholarweave.llm.common import add_columns, durable, masked
+from scholarweave.llm.common import add_columns, durable
 
 MARK = "▁"
-PROBES = ["a", " a  b", "  two  words \n\n third\tline ", "a▁b ▁▁ c", "\x00é中文 1234,5.6 don't (x) ##", "x" * 300, " " * 50, "\n1a2b\n"]
+_MARKED = re.compile(f"{MARK}+[^{MARK}]*")
+_PROBES = ["a", " ", "a ", " a  b", "  two  words \n\n third\tline ", "a▁b ▁▁ c", "\x00é中文 1234,5.6 don't (x) ##", "x" * 300, " " * 50, "\n1a2b\n"]
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``shipped`` chunks of at most ``long`` bytes go to every task; ``combined`` bounds the distinct chunks that a task adds up before it passes them on."""
+    """``shipped`` words of at most ``long`` bytes go to every task; ``held`` bounds the distinct words that a task holds at once, ``part`` the characters it cuts at once."""
 
     shipped: int = 200_000
     long: int = 64
-    combined: int = 500_000
+    held: int = 200_000
+    part: int = 1 << 20
 
 
-class Chunks:
-    """A model and the places at which its texts may be cut."""
+class Model:
+    """A sentencepiece model whose texts may be cut before their markers."""
 
-    def __init__(self, model: bytes):
-        self.processor = sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        pieces = [sp.id_to_piece(i) for i in range(len(sp)) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
-        longer = [p for p in pieces if len(p) > 1]
-        if any(MARK in p.lstrip(MARK) for p in longer):
+    def __init__(self, content: bytes):
+        self.processor = sp = sentencepiece.SentencePieceProcessor(model_proto=content)
+        if any(MARK in sp.id_to_piece(i).lstrip(MARK) for i in range(len(sp))):
             raise ValueError("a piece goes on past a white space marker")
-        joined = {c for p in longer for c in p}
-        alone = sorted({p for p in pieces if len(p) == 1 and p not in joined} | {c for c in "\n\r\t0123456789" if c not in joined})
-        guards = [c for c in alone if len(sp.encode(c)) == 2]
-        if not guards:
-            raise ValueError("no character of the vocabulary stands alone")
-        self.guard = guards[0]
-        single = "".join(map(re.escape, alone))
-        letters, others = f"[^\\W\\d_{single}]", f"(?:(?![{MARK}{single}])[\\W\\d_])"
-        letter = re.compile(r"[^\W\d_]")
-        mixed = any((letter.match(a) is None) != (letter.match(b) is None) for p in longer for a, b in zip(p.lstrip(MARK), p.lstrip(MARK)[1:], strict=False))
-        words = f"[^{MARK}{single}]+" if mixed else f"{letters}+|{MARK}*{others}+"
-        self.pattern = re.compile(f"{MARK}*{words}|{MARK}+|[{single}]")
-        for text in PROBES:
-            if list(chain.from_iterable(self.segment(self.cut(text)))) != sp.encode(text):
+        self.mark = [sp.piece_to_id(MARK)]
+        for text in _PROBES:
+            if list(chain.from_iterable(self.segment(words(text)))) != sp.encode(text):
                 raise ValueError("the model changes texts before it cuts them into pieces")
 
-    def cut(self, text: str) -> list[str]:
-        return self.pattern.findall(MARK + text.replace(" ", MARK)) if text else []
+    def segment(self, marked: list[str]) -> list[list[int]]:
+        """The ids of marked words; the library adds the marker that ``words`` has taken off."""
+        return [ids if w else self.mark for w, ids in zip(marked, self.processor.encode(marked, num_threads=1), strict=True)]
+
 
-    def segment(self, chunks: list[str]) -> list[list[int]]:
-        """The ids of each chunk. A character that stands alone is set before it, so that the library's own leading marker is apart."""
-        return [ids[2:] for ids in self.processor.encode([self.guard + c for c in chunks], num_threads=1)]
+def words(text: str | None) -> list[str]:
+    """The marked words of a text, each without the first of its markers."""
+    if not text:
+        return []
+    if text[0] != " " and text[-1] != " " and "  " not in text and MARK not in text:
+        return text.split(" ")
+    return [w[1:] for w in _MARKED.findall(MARK + text.replace(" ", MARK))]
 
 
 @lru_cache(maxsize=2)
-def chunks_of(model: bytes) -> Chunks:
-    return Chunks(model)
+def model_of(content: bytes) -> Model:
+    return Model(content)
 
 
 def read_model(path: str) -> bytes:
@@ -90,114 +83,100 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def count_chunks(docs: DataFrame, model: bytes, settings: Settings = Settings()) -> DataFrame:
-    """(chunk, n) over all texts of ``docs``."""
-
-    def rows(seen: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["chunk", "n"])
+def count_words(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(word, n) over all texts of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = chunks_of(model), Counter()
+        seen: Counter = Counter()
         for batch in batches:
             for text in batch.column(0):
-                seen.update(own.cut(text.as_py() or ""))
-                if len(seen) > settings.combined:
+                seen.update(words(text.as_py()))
+                if len(seen) > settings.held:
                     yield rows(seen)
-                    seen = Counter()
+                    seen.clear()
         yield rows(seen)
 
-    return docs.select("text").mapInArrow(run, "chunk string, n bigint").groupBy("chunk").agg(F.sum("n").alias("n"))
-
-
-def segment_chunks(counted: DataFrame, model: bytes) -> DataFrame:
-    """``counted`` with ``ids``; each distinct chunk is segmented once."""
-
-    def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        return {"ids": pa.array(chunks_of(model).segment(batch.column(batch.schema.get_field_index("chunk")).to_pylist()), pa.list_(pa.int32()))}
+    def rows(seen: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
-    return add_columns(counted, work, "ids array<int>", ["chunk", "n"], ["chunk"])
+    return docs.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def least_shipped(segmented: DataFrame, settings: Settings = Settings()) -> int:
-    """The smallest count from which all short chunks together are at most ``shipped``."""
-    # counts are put into steps of about a tenth, so there are a few hundred rows
-    step = F.floor(F.log2("n") * 8).cast("int")
-    steps = segmented.filter(F.octet_length("chunk") <= settings.long).groupBy(step.alias("step")).agg(F.count("*").alias("c"), F.min("n").alias("least")).orderBy(F.desc("step")).collect()
+def frequent(counted: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The words of ``counted`` that are shipped: all short ones from the smallest count on at which they are not too many."""
+    short = counted.filter(F.octet_length("word") <= settings.long)
+    # counts up to 64 by themselves, larger ones in steps of about a tenth: some hundred rows
+    step = F.when(F.col("n") <= 64, F.col("n")).otherwise(F.floor(F.log2("n") * 8) + 64)
+    steps = short.groupBy(step.alias("step")).agg(F.count("*").alias("c"), F.min("n").alias("least")).orderBy(F.desc("step")).collect()
     least, total = np.iinfo(np.int64).max, 0
     for r in steps:
         total += r["c"]
         if total > settings.shipped:
             break
         least = r["least"]
-    return int(least)
+    return short.filter(F.col("n") >= int(least))
+
+
+def segment_words(rows: DataFrame, model: bytes) -> DataFrame:
+    """``rows`` (word, n) with ``ids``."""
+
+    def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        return {"ids": pa.array(model_of(model).segment(batch.column(batch.schema.get_field_index("word")).to_pylist()), pa.list_(pa.int32()))}
+
+    return add_columns(rows, work, "ids array<int>", ["word", "n"], ["word"])
 
 
 def encode(docs: DataFrame, model: bytes, keep: list[str], settings: Settings = Settings()) -> DataFrame:
-    """``keep`` columns of ``docs`` (but for its ``text``) and ``ids``."""
-    spark = docs.sparkSession
-    plain, back = masked(docs, "text")
-    columns = [f"k{i}" for i, c in enumerate(docs.columns) if c in keep and c not in ("text", "ids")]
-    plain = plain.select(*columns, "text")
-    plain = plain.withColumns({"_k": F.xxhash64("text"), "_l": F.xxhash64(F.lit(1), F.col("text"))})
-    segmented = durable(segment_chunks(count_chunks(plain, model, settings), model))
-    frequent = (F.col("n") >= least_shipped(segmented, settings)) & (F.octet_length("chunk") <= settings.long)
-    shipped = segmented.filter(frequent).select("chunk", "ids").toArrow()  # at most ``shipped`` short rows
-    table = spark.sparkContext.broadcast(dict(zip(shipped["chunk"].to_pylist(), map(tuple, shipped["ids"].to_pylist()), strict=True)))
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known, done = chunks_of(model), table.value, set()
-        for batch in batches:
-            k, l, names, at = [], [], [], []
-            for a, b, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if (a, b) in done:
-                    continue
-                if len(done) < settings.combined:
-                    done.add((a, b))
-                here: dict[str, list[int]] = {}
-                for i, c in enumerate(own.cut(text or "")):
-                    if c not in known:
-                        here.setdefault(c, []).append(i)
-                k += [a] * len(here)
-                l += [b] * len(here)
-                names += here
-                at += here.values()
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(l, pa.int64()), pa.array(names, pa.string()), pa.array(at, pa.list_(pa.int32()))], names=["_k", "_l", "chunk", "at"])
-
-    wanted = plain.select("_k", "_l", "text").mapInArrow(places, "_k bigint, _l bigint, chunk string, at array<int>")
-    rare = segmented.filter(~frequent).select("chunk", "ids")
-    found = wanted.join(rare, "chunk").groupBy("_k", "_l").agg(F.collect_set(F.struct("at", "ids")).alias("_found"))
-    found = durable(found)
-
-    def pack(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        texts = batch.column(batch.schema.get_field_index("text"))
-        sizes = [len(t.as_buffer()) if t.is_valid else 0 for t in texts]
-        packed = [pa.compress(t.as_buffer(), "zstd", asbytes=True) if n else b"" for t, n in zip(texts, sizes, strict=True)]
-        return {"_packed": pa.array(packed, pa.binary()), "_size": pa.array(sizes, pa.int64())}
-
-    def assemble(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        own, known = chunks_of(model), table.value
-        packed, size, rest = (batch.column(batch.schema.get_field_index(c)) for c in ("_packed", "_size", "_found"))
-        out = []
-        for p, n, f in zip(packed, size.to_pylist(), rest, strict=True):
-            text = pa.decompress(p.as_buffer(), n, "zstd", asbytes=True).decode() if n else ""
-            ids = list(map(known.get, own.cut(text)))
-            for part in f.as_py() or ():
-                for i in part["at"]:
-                    ids[i] = part["ids"]
-            out.append(np.fromiter(chain.from_iterable(ids), dtype=np.int32))
-        return {"ids": pa.array(out, pa.list_(pa.int32()))}
-
-    travelling = add_columns(plain, pack, "_packed binary, _size bigint", [*columns, "_k", "_l"], ["text"])
-    whole = travelling.join(found, ["_k", "_l"], "left")
-    made = add_columns(whole, assemble, "ids array<int>", columns, ["_packed", "_size", "_found"])
-    return made.select(*[back[c].alias(c) for c in keep if c not in ("text", "ids")], "ids")
-
-
-def decode(encoded: DataFrame, model: bytes, keep: list[str]) -> DataFrame:
-    """``keep`` columns and ``decoded``: the library's text for ``ids``."""
+    """``keep`` columns of ``docs`` (with ``text``) and ``ids``."""
+    counted = durable(count_words(docs, settings))
+    rows = segment_words(frequent(counted, settings), model).toArrow()  # at most ``shipped`` short rows
+    table = docs.sparkSession.sparkContext.broadcast(dict(zip(rows["word"].to_pylist(), map(tuple, rows["ids"].to_pylist()), strict=True)))
+    memory: dict[str, tuple[int, ...]] = {}  # of one task
+
+    def ids_of(cut: list[list[str]]) -> Iterator[np.ndarray]:
+        known = table.value
+        rare = set().union(*cut) - known.keys()
+        if len(memory) + len(rare) > settings.held:
+            memory.clear()
+        new = list(rare - memory.keys())
+        memory.update(zip(new, map(tuple, model_of(model).segment(new)), strict=True))
+        for marked in cut:
+            yield np.fromiter(chain.from_iterable([known.get(w) or memory[w] for w in marked]), dtype=np.int32)
+
+    def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        texts = _parts(batch.column(batch.schema.get_field_index("text")), settings.part)
+        return {"ids": pa.array([ids for part in texts for ids in ids_of([words(t) for t in part])], pa.list_(pa.int32()))}
+
+    return add_columns(docs, work, "ids array<int>", [c for c in keep if c != "ids"], ["text"])
+
+
+def _parts(column: pa.Array, limit: int) -> Iterator[list[str]]:
+    """The texts of a column in parts of at most ``limit`` characters or one text; null is empty."""
+    size, texts = 0, []
+    for value in column:
+        text = value.as_py() or ""
+        if texts and size + len(text) > limit:
+            yield texts
+            size, texts = 0, []
+        texts.append(text)
+        size += len(text)
+    if texts:
+        yield texts
+
+
+def decode(encoded: DataFrame, model: bytes, keep: list[str], settings: Settings = Settings()) -> DataFrame:
+    """``keep`` columns and ``decoded``: the library's text for ``ids``; null ids decode to the empty text."""
 
     def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        ids = batch.column(batch.schema.get_field_index("ids")).to_pylist()
-        return {"decoded": pa.array([chunks_of(model).processor.decode(x) if x else "" for x in ids], pa.string())}
+        column, own, out = batch.column(batch.schema.get_field_index("ids")), model_of(model).processor, []
+        lengths = np.diff(column.offsets.to_numpy()) * np.asarray(column.is_valid())
+        ids, ends = column.flatten().to_numpy(), np.cumsum(lengths)
+        at = 0
+        while at < len(ends):  # parts of lists, so that few ids are Python numbers at a time
+            begin = ends[at] - lengths[at]
+            stop = max(at + 1, int(np.searchsorted(ends, begin + settings.part // 4, side="right")))
+            out += own.decode([ids[e - n : e].tolist() for n, e in zip(lengths[at:stop], ends[at:stop], strict=True)])
+            at = stop
+        return {"decoded": pa.array(out, pa.string())}
 
     return add_columns(encoded, work, "decoded string", keep, ["ids"])
