@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scholarweave.operators import authors, components, expansion, keywords, unify, vectors
+from scholarweave.operators.ranking import top_per_group
 from scholarweave.plans.builders import citation_graph
 from scholarweave.plans.search import E_, Q_, SIM, label_queries
 from scholarweave.plans.sql_views import AUTH, CITES, COLLAB, FLAGS, KW, PAPERS, with_views
@@ -142,6 +143,29 @@ def literature(spark, d):
     return nodes, edges
 
 
+def described(spark, d):
+    """``literature`` with keyword nodes, and the attributes that contexts show: authors, abstract and keywords of papers, counts and topics of the others."""
+    nodes, edges = literature(spark, d)
+    authorship, words = t.authorship(spark, d), t.paper_keywords(spark, d)
+    names = t.table(spark, d, "supplier").select(F.col("s_suppkey").alias("author_id"), "s_name")
+    listed = lambda df, key, order, value: df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("_l"))
+    people = listed(authorship.join(names, "author_id"), "paper_id", "line", "s_name").select(paper_node("paper_id").alias("id"), F.col("_l").alias("authors"))
+    terms = listed(words, "paper_id", "line", "keyword").select(paper_node("paper_id").alias("id"), F.col("_l").alias("keywords"))
+    texts = t.table(spark, d, "documents").select(paper_node("doc_id").alias("id"), F.col("text").alias("abstract"))
+    counts = authorship.groupBy("author_id").agg(F.count("*").alias("paper_count")).select(author_node("author_id").alias("id"), "paper_count")
+    published = t.papers(spark, d).groupBy(F.col("journal").alias("id")).agg(F.count("*").alias("paper_count"))
+    topics = authorship.join(words, "paper_id").groupBy("author_id", "keyword").agg(F.count("*").alias("n"))
+    topics = top_per_group(topics, ["author_id"], [F.desc("n"), F.asc("keyword")], 5)
+    topics = listed(topics, "author_id", "rank", "keyword").select(author_node("author_id").alias("id"), F.col("_l").alias("top_keywords"))
+    frequency = words.groupBy(F.col("keyword").alias("id")).agg(F.count("*").alias("frequency"))
+    keyword_nodes = frequency.select("id", F.lit("keyword").alias("node_type"), F.col("id").alias("name"))
+    full = unify.unite([nodes, keyword_nodes])
+    for part in (people, terms, texts, counts.unionByName(published), topics, frequency):
+        full = full.join(part, "id", "left")
+    has = words.select(paper_node("paper_id").alias("src"), F.col("keyword").alias("dst"), F.lit("has_keyword").alias("edge_type"))
+    return full.withColumn("productivity_type", F.lit(None).cast("string")), unify.unite([edges, has])
+
+
 def store(spark, d):
     return t.vectors(spark, d).withColumn("node_id", paper_node("node_id"))
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scholarweave.fixed_values import EMBEDDING_MODELS
-from scholarweave.functions import answers, node_text, prompts, questions
+from scholarweave.functions import answers, encoding, node_text, prompts, questions
 from scholarweave.functions import text as tx
-from scholarweave.operators import context, expansion, memory
+from scholarweave.operators import context, expansion, memory, question_path
 from scholarweave.plans import graph
 from scholarweave.session import durable
 from scholarweave.sources import tables as t
@@ -60,23 +61,69 @@ def query_plan(spark, d):
     return _joined(rows.select("conv_id", "turn", "search_mode", "estimated_scope", "strategy", F.round("confidence", 6).alias("confidence"), *lists), *lists)
 
 
-def rich_nodes(nodes):
-    none = F.lit(None).cast("array<string>")
-    return nodes.select(
-        "id", "node_type", "title", "year", "journal", "name", F.lit(None).cast("string").alias("abstract"), none.alias("authors"), none.alias("keywords"),
-        none.alias("top_keywords"), F.lit(None).cast("bigint").alias("paper_count"), F.lit(None).cast("string").alias("productivity_type"), F.lit(None).cast("bigint").alias("frequency"),
-    )
-
-
 def subgraph(spark, d):
     """The local subgraphs of the ten label queries, with what the context needs."""
     nodes, edges, members, found = graph.local_subgraph(spark, d)
+    described = durable(graph.described(spark, d)[0].join(members.select(F.col("node_id").alias("id")).distinct(), "id", "left_semi"))
     scored = durable(expansion.relevance(members, nodes, found))
     asked_for = found.select("query_id").distinct().select(
         "query_id", F.concat(F.lit("papers near "), "query_id").alias("question"), F.lit("en").alias("language"),
         F.array(F.lit("paper")).alias("required_node_types"), F.lit("local").alias("strategy"),
     )
-    return rich_nodes(nodes), durable(expansion.induced_edges(members, edges)), scored, expansion.confidence(scored, found), durable(asked_for)
+    return described, durable(expansion.induced_edges(members, edges)), scored, expansion.confidence(scored, found), durable(asked_for)
+
+
+# --- the way of a question, from the users' turns to answers ---------------------------------
+
+
+def node_label():
+    return F.coalesce("title", "name", "id")
+
+
+def question_corpus(spark, d):
+    """The described graph, opened for questions; a node's vector is that of its title or name."""
+    nodes, edges = graph.described(spark, d)
+    nodes = durable(nodes)
+    vectors = nodes.select(F.col("id").alias("node_id"), "node_type", encoding.encode(node_label()).alias("embedding"))
+    return question_path.open_corpus(nodes, edges, vectors)
+
+
+def question_table(spark, d):
+    rows = asked(spark, d)
+    return rows.select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), "question")
+
+
+SEEDS = {"k": 5, "min_similarity": 0.2}
+
+
+def question_seeds(spark, d):
+    """Nodes nearest to each question among the types it requires."""
+    analysed = durable(question_path.analyse(question_table(spark, d), encoding.encode))
+    nodes = durable(graph.described(spark, d)[0].select("id", "node_type", "title", "name"))
+    store = nodes.select(F.col("id").alias("node_id"), "node_type", encoding.encode(node_label()).alias("embedding"))
+    return question_path.find_seeds(analysed, durable(store), **SEEDS).select("query_id", "node_id", F.round("similarity", 5).alias("similarity"), "rank")
+
+
+def question_subgraphs(spark, d):
+    """Every question's subgraph: strategy, seeds, sizes and confidence."""
+    analysed = durable(question_path.analyse(question_table(spark, d), encoding.encode))
+    found = question_path.extract(analysed, question_corpus(spark, d), **SEEDS)
+    return found.summary.select("query_id", "strategy", "seeds", "total_nodes", "total_edges", F.round("confidence", 5).alias("confidence"))
+
+
+def question_documents(spark, d):
+    out = question_path.retrieve(question_table(spark, d), question_corpus(spark, d), encoding.encode, **SEEDS)
+    return out.select("query_id", "doc_no", "document_type", "node_id", F.round("relevance", 5).alias("relevance"), F.length("content").alias("length"))
+
+
+def question_answers(spark, d):
+    """All users' questions answered in one plan, with a model that repeats the last line but one of its prompt."""
+
+    def make():
+        return lambda prompt: prompt.strip().rsplit("\n", 2)[-2] if prompt.count("\n") > 1 else prompt
+
+    out = question_path.ask(question_table(spark, d), question_corpus(spark, d), encoding.encode, make, **SEEDS)
+    return out.select("query_id", "strategy", "total_nodes", "total_tokens", F.size("source_nodes").alias("sources"), F.col("error").isNull().alias("answered"))
 
 
 def node_priority(spark, d):
@@ -157,11 +204,12 @@ def node_texts(spark, d):
 
 
 def turns(spark, d):
-    """A user's turn with the assistant's next one; relevance and keywords follow from the text."""
+    """A user's turn with the assistant's next one, empty where none follows; relevance and keywords follow from the text."""
     c = t.table(spark, d, "conversations")
-    human = c.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("human"))
-    ai = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("ai"))
-    rows = human.join(ai, ["conv_id", "turn"])
+    # read backwards, so that the next answer is a running value
+    later = Window.partitionBy("conv_id").orderBy(F.desc("turn"), "role").rowsBetween(Window.unboundedPreceding, -1)
+    answer = F.last(F.when(F.col("role") == "assistant", F.col("text")), ignorenulls=True).over(later)
+    rows = c.select("conv_id", "turn", "role", F.col("text").alias("human"), F.coalesce(answer, F.lit("")).alias("ai")).filter("role = 'user'")
     return rows.select(
         F.concat_ws("-", F.lit("s"), F.col("conv_id") % 7).alias("session_id"),
         (F.col("conv_id") * 100 + F.col("turn")).alias("turn"),
@@ -229,7 +277,7 @@ QUERIES = {
         query_language, query_entities, query_complexity, query_type, query_plan, node_priority, edge_priority, context_sections,
         token_budget, context_text, docs_ranked, prompt_build, qa_prompt, answer_cleanup, meaningless_filter, answer_run, node_texts,
         memory_fifo, memory_relevance, memory_frequency, memory_hybrid, memory_window, memory_check, memory_stats,
-        session_summary, cache_ttl, usage_stats,
+        session_summary, cache_ttl, usage_stats, question_seeds, question_subgraphs, question_documents, question_answers,
     )
 }
 

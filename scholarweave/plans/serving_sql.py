@@ -104,9 +104,22 @@ HINTS = """list_filter([CASE WHEN complexity = 'simple' THEN 'Direct entity look
  CASE WHEN query_type = 'trend_analysis' THEN 'Consider time-series aggregation' END, CASE WHEN query_type = 'collaboration_analysis' THEN 'Focus on author-author relationships' END,
  CASE WHEN query_type = 'collaboration_analysis' THEN 'Calculate network centrality metrics' END, CASE WHEN list_contains(rn, 'author') THEN 'Include author disambiguation' END,
  CASE WHEN len(rn) > 2 THEN 'Use multi-type graph traversal' END], lambda h: h IS NOT NULL)"""
-TURNS = """turns AS (SELECT 's-' || (h.conv_id % 7) AS session_id, h.conv_id * 100 + h.turn AS turn, 1704067200 + h.conv_id * 3600 + h.turn * 60 AS tsec,
-   length(h.text || a.text) // 4 AS tokens, (length(h.text) % 100) / 100.0::DOUBLE AS relevance, string_split(h.text, ' ')[1:4] AS keywords
-  FROM conversations h JOIN conversations a ON a.conv_id = h.conv_id AND a.turn = h.turn + 1 AND a.role = 'assistant' WHERE h.role = 'user')"""
+TURNS = """said AS (SELECT *, coalesce(first_value(CASE WHEN role = 'assistant' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS ai FROM conversations),
+turns AS (SELECT 's-' || (h.conv_id % 7) AS session_id, h.conv_id * 100 + h.turn AS turn, 1704067200 + h.conv_id * 3600 + h.turn * 60 AS tsec,
+   length(h.text || h.ai) // 4 AS tokens, (length(h.text) % 100) / 100.0::DOUBLE AS relevance, string_split(h.text, ' ')[1:4] AS keywords
+  FROM said h WHERE h.role = 'user')"""
+LABELS = """lab AS (SELECT 'paper_' || o_orderkey AS id, 'paper' AS ty, 'Study ' || c_mktsegment || ' ' || o_orderpriority || ' ' || o_orderkey AS label FROM orders JOIN customer ON o_custkey = c_custkey
+  UNION ALL SELECT 'author_' || s_suppkey, 'author', s_name FROM supplier UNION ALL SELECT n_name, 'journal', n_name FROM nation
+  UNION ALL SELECT DISTINCT p_name, 'keyword', p_name FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+
+
+def encoded(name, rows):
+    """(id, v) of the hashing encoder for ``rows`` (id, label)."""
+    return f"""{name}_t AS (SELECT id, unnest(list_filter(string_split_regex(lower(label), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')) AS w FROM {rows}),
+{name}_h AS (SELECT id, CAST('0x' || substr(md5(w), 1, 7) AS BIGINT) % 64 AS pos, CASE WHEN CAST('0x' || substr(md5(w), 8, 1) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END AS s FROM {name}_t),
+{name}_b AS (SELECT id, pos, CAST(sum(s) AS DOUBLE) AS x FROM {name}_h GROUP BY 1, 2),
+{name}_n AS (SELECT id, pos, CAST(CAST(x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS FLOAT) AS DOUBLE) AS x FROM {name}_b QUALIFY sum(x * x) OVER (PARTITION BY id) > 0),
+{name} AS MATERIALIZED (SELECT id, list(coalesce(x, 0.0) ORDER BY pos) AS v FROM (SELECT id, pos, sum(x) AS x FROM (SELECT id, pos, x FROM {name}_n UNION ALL SELECT id, p, 0.0 FROM (SELECT DISTINCT id FROM {name}_n), range(64) r(p)) GROUP BY 1, 2) GROUP BY 1)"""
 
 
 def kept(score, views=""):
@@ -138,6 +151,11 @@ SELECT conv_id, turn, search_mode, CASE WHEN len(authors) > 3 THEN 'narrow' WHEN
   round(least(1.0, 0.5 + score * 0.5), 6)::DOUBLE AS confidence, array_to_string(rn, '|') AS required_node_types, array_to_string(re, '|') AS required_edge_types,
   array_to_string({HINTS}, '|') AS processing_hints,
   array_to_string(list_concat(years, list_filter([{quoted(qp.TIME_WORDS)}], lambda w: contains(lower(processed), w))), '|') AS temporal_indicators FROM pl""",
+    "question_seeds": f"""WITH {ASKED}, {ENT}, {COMPLEX}, {TYPES}, {PLAN}, {LABELS}, qs AS (SELECT conv_id || '-' || turn AS id, question AS label, rn FROM pl),
+{encoded('qe', 'qs')}, {encoded('ne', 'lab')},
+s AS (SELECT qs.id AS query_id, lab.id AS node_id, list_cosine_similarity(qe.v, ne.v) AS sim FROM qs JOIN qe ON qe.id = qs.id JOIN lab ON list_contains(qs.rn, lab.ty) OR len(qs.rn) = 0 JOIN ne ON ne.id = lab.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, node_id) AS rk FROM s WHERE sim >= 0.2)
+SELECT query_id, node_id, round(sim, 5) AS similarity, CAST(rk AS INTEGER) AS rank FROM r WHERE rk <= 5""",
     "node_priority": PRIO + " SELECT query_id, node_id, CASE WHEN s >= 0.8 THEN 'critical' WHEN s >= 0.6 THEN 'high' WHEN s >= 0.4 THEN 'medium' ELSE 'low' END AS priority FROM pr",
     "edge_priority": f"""{PRIO}, {INDUCED}, ep AS (SELECT i.query_id, edge_type, round((a.relevance + b.relevance) / 2 + {IMPORTANCE}, 9) AS s FROM i
   JOIN rel a ON a.query_id = i.query_id AND a.node_id = src JOIN rel b ON b.query_id = i.query_id AND b.node_id = dst WHERE rn <= 500)
