@@ -268,7 +268,10 @@ def word_counts(docs: DataFrame, settings: Settings = Settings()) -> dict[str, d
     """Words of at most ``settings.per_language`` documents of each language, with their counts."""
     known = docs.filter("doc_id is not null and lang is not null")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("_no", F.row_number().over(order)).filter(F.col("_no") <= settings.per_language).select("doc_id").distinct()
+    # a share of each language by hash comes first, several times what is wanted, so that few rows of one language meet
+    n = F.broadcast(known.groupBy("lang").agg(F.count("*").alias("_n")))  # one row a language
+    share = (F.xxhash64("doc_id").cast("double") / 2.0**64 + 0.5) * F.col("_n") <= 4 * settings.per_language + 64
+    chosen = known.select("doc_id", "lang").join(n, "lang").filter(share).withColumn("_no", F.row_number().over(order)).filter(F.col("_no") <= settings.per_language).select("doc_id").distinct()
     # bounded by the number of languages: small enough to ship
     rows = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id")
 

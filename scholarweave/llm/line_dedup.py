@@ -7,13 +7,13 @@ fingerprint at the same place. Fingerprints chosen at two places or more are sha
 only the windows that chose them go on. From a shared fingerprint a match is extended both
 ways by meeting on the hash of the whole window at each offset around it: the first place
 of each window (by document id, then line) is found by one aggregation and every later place is joined
-to it. A line is removed if a window that covers it has an earlier place. So each repeated
+to it. Windows that follow each other at both places are joined into maximal runs (``repeated_runs``), and the lines of every run are removed. So each repeated
 run of ``run`` lines or more goes except where it stands first, without forming pairs.
 
 A line of ``alone`` words or more, or of ``CHARACTERS`` in writing without blanks, is a window of its own: it goes wherever it
 stands later, whatever its neighbours are. ``alone`` of None leaves runs only.
 
-Both aggregations combine before the shuffle, both joins are plain equi-joins that adaptive execution splits.
+Both aggregations combine before the shuffle; the joins have stored inputs, which adaptive execution splits. Texts are read twice: for their hashes and to be cut.
 
 Defined results: null ids or null texts are passed through and are never sources; an empty
 text has one blank line. A document whose text is wholly repeated gets the text that its
@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholarweave.llm.common import masked
+from scholarweave.llm.common import durable, masked
 
 RUN = 2
 ALONE = 10
@@ -50,11 +50,20 @@ def _used(lines: Column, alone: int | None = None) -> Column:
     return F.transform(F.filter(trimmed, lambda x: x.line != ""), lambda x: F.struct(x.no.alias("no"), F.xxhash64(x.line).alias("code"), (F.lit(False) if alone is None else _long(x.line, alone)).alias("long")))
 
 
-def repeated_windows(docs: DataFrame, run: int = RUN, alone: int | None = ALONE) -> DataFrame:
-    """(doc_id, version, at, n): windows of ``run`` used lines, or of one long line, that have an earlier place; ``at`` counts used lines from 0."""
+def line_codes(docs: DataFrame, run: int = RUN, alone: int | None = ALONE) -> DataFrame:
+    """(doc_id, version, codes, longs): the hashes of the used lines of each text that can hold a window. Stored, so that texts are split once for all that follows."""
     known = docs.filter("doc_id is not null and text is not null")
     used = known.select("doc_id", F.xxhash64("text").alias("version"), _used(_lines(F.col("text")), alone).alias("used"))
-    rows = used.select("doc_id", "version", F.col("used.code").alias("codes"), F.col("used.long").alias("longs")).filter((F.size("codes") >= run) | F.array_contains("longs", True))
+    rows = durable(used.select("doc_id", "version", F.col("used.code").alias("codes"), F.col("used.long").alias("longs")))
+    return rows.filter((F.size("codes") >= run) | F.array_contains("longs", True))
+
+
+def repeated_runs(docs: DataFrame, run: int = RUN, alone: int | None = ALONE) -> DataFrame:
+    """(doc_id, version, at, n, first_id, first_version, first_at): maximal runs of used lines that stand earlier, with their first place; ``at`` counts used lines from 0.
+
+    Windows that follow each other here and at the first place of each are one run: a fingerprint's match extended both ways as far as it goes.
+    """
+    rows = line_codes(docs, run, alone)
 
     def chosen(at: Column) -> Column:
         part = F.slice("codes", at + 1, run)
@@ -75,16 +84,32 @@ def repeated_windows(docs: DataFrame, run: int = RUN, alone: int | None = ALONE)
     # a window is counted where its place is chosen for the first time, so that the count is of places
     places = rows.select(F.explode(F.array_distinct(F.transform(made, lambda w: F.struct(w["mark"].alias("mark"), w["place"].alias("place"))))).alias("f"))
     shared = places.groupBy(F.col("f.mark").alias("mark")).count().filter("count > 1").select("mark")
-    candidates = windows.join(shared, "mark", "left_semi").select("a", "b", "doc_id", "version", "at", "n")
+    candidates = durable(windows.join(shared, "mark", "left_semi").select("a", "b", "doc_id", "version", "at", "n"))
     place = F.struct("doc_id", "version", "at")
-    first = candidates.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("a", "b", "first")
-    return candidates.join(first, ["a", "b"]).filter(place > F.col("first")).select("doc_id", "version", "at", "n")
+    # stored, so that the join has two plain inputs and a hot window is split
+    first = durable(candidates.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("a", "b", "first"))
+    later = candidates.join(first, ["a", "b"]).filter(place > F.col("first"))
+    spot = F.struct(F.col("first.doc_id").alias("id"), F.col("first.version").alias("version"), (F.col("at") - F.col("first.at")).alias("gap"), "n", "at")
+    # of one text: windows by first place and distance, then by line; a break in the line numbers begins a new run
+    found = later.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set(spot)).alias("w"))
+    begins = F.filter(F.transform("w", lambda x, i: F.struct(x.alias("x"), F.get("w", i - 1).alias("before"), i.alias("i"))), lambda y: y.before.isNull() | ~_follows(y.x, y.before))
+    cut = found.select("doc_id", "version", "w", F.transform(begins, lambda y: y.i).alias("begin"))
+    ends = F.transform("begin", lambda b, k: F.coalesce(F.get("begin", k + 1), F.size("w")) - 1)
+    runs = F.transform(F.arrays_zip("begin", ends.alias("end")), lambda z: F.struct(F.get("w", z["begin"]).alias("from"), F.get("w", z["end"]).alias("to")))
+    return cut.select("doc_id", "version", F.explode(runs).alias("r")).select(
+        "doc_id", "version", F.col("r.from.at").alias("at"), (F.col("r.to.at") - F.col("r.from.at") + F.col("r.to.n")).alias("n"),
+        F.col("r.from.id").alias("first_id"), F.col("r.from.version").alias("first_version"), (F.col("r.from.at") - F.col("r.from.gap")).alias("first_at"),
+    )
+
+
+def _follows(x: Column, before: Column) -> Column:
+    return (x["id"] == before["id"]) & (x["version"] == before["version"]) & (x["gap"] == before["gap"]) & (x["n"] == before["n"]) & (x["at"] == before["at"] + 1)
 
 
 def remove_repeats(docs: DataFrame, run: int = RUN, counts: bool = True, alone: int | None = ALONE) -> DataFrame:
     """``docs`` with the repeated runs and long lines cut out of ``text``; with ``n_lines`` and ``n_removed`` if ``counts``."""
     plain, back = masked(docs, "doc_id", "text")
-    found = repeated_windows(plain, run, alone).groupBy("doc_id", "version").agg(F.collect_set(F.struct("at", "n")).alias("_starts"))
+    found = repeated_runs(plain, run, alone).groupBy("doc_id", "version").agg(F.collect_set(F.struct("at", "n")).alias("_starts"))
     found = found.withColumnsRenamed({"doc_id": "_of", "version": "_as"})
     whole = plain.withColumn("_version", F.xxhash64("text")).join(found, (F.col("doc_id") == F.col("_of")) & (F.col("_version") == F.col("_as")), "left")
     # one projection each, so that the arrays are built once

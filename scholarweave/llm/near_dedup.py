@@ -221,27 +221,33 @@ def _folded(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     return add_columns(texts, work, "folded binary", ["doc_id"], ["text"]).withColumnRenamed("doc_id", "rep")
 
 
-def _left_in_buckets(members: DataFrame, docs: DataFrame, shingle: int, every: bool) -> DataFrame:
+def _left_in_buckets(members: DataFrame, docs: DataFrame, shingle: int, wanted: DataFrame | None = None) -> DataFrame:
     """Pairs across components inside buckets that stars left apart, that may be alike enough.
 
-    ``members``: bucket, rep, hub, n, label. Of the pairs of one class with one other component the most alike is given, or ``every`` one.
+    ``members``: bucket, rep, hub, n, label. Of the pairs of one class with one other component the most alike is given. With ``wanted`` (rep,
+    labels) only those classes are compared, only with those components, and every pair that may be alike is given.
     """
-    hub_label = members.filter("rep = hub").select("bucket", F.col("label").alias("hub_label")).distinct()
-    spread = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
-    apart = durable(members.filter("n > 2").join(spread, "bucket").join(hub_label, "bucket"))
+    # stored: one row a bucket, so that members are joined with a plain table
+    spread = durable(members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.when(F.col("rep") == F.col("hub"), F.col("label"))).alias("hub_label")).filter("low <> high").select("bucket", "hub_label"))
+    apart = durable(members.filter("n > 2").join(spread, "bucket"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks.cast("long")).cast("int")
     each = F.explode(F.sequence(F.lit(0), blocks - 1))
     # members outside the hub's component meet every other member, block against block; the hub itself has met all
-    left = apart.filter("label <> hub_label").select("bucket", own.alias("x"), each.alias("y"), "rep", "label", F.lit(True).alias("outside"))
-    right = apart.filter("rep <> hub").select("bucket", each.alias("x"), own.alias("y"), "rep", "label", F.lit(False).alias("outside"))
-    ids = durable(apart.select("rep").distinct())
+    asked, no_labels = apart.filter("label <> hub_label"), F.lit(None).cast(f"array<{members.schema['label'].dataType.simpleString()}>")
+    if wanted is not None:
+        asked = apart.join(wanted, "rep")
+        apart = apart.join(asked.select("bucket").distinct(), "bucket", "left_semi")
+    left = asked.select("bucket", own.alias("x"), each.alias("y"), "rep", "label", (no_labels if wanted is None else F.col("labels")).alias("labels"), F.lit(True).alias("outside"))
+    right = apart.filter("rep <> hub").select("bucket", each.alias("x"), own.alias("y"), "rep", "label", no_labels.alias("labels"), F.lit(False).alias("outside"))
+    ids = durable(left.select("rep").unionByName(right.select("rep")).distinct())
     rows = left.unionByName(right).join(_folded(docs, ids, shingle), "rep")
     kind = members.schema["rep"].dataType.simpleString()
 
     def run(_, part):
         outside = np.array(part.column("outside").to_pylist(), dtype=bool)
         reps, labels = part.column("rep").combine_chunks(), part.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+        names, asked_for = np.array(part.column("label").to_pylist(), dtype=object), part.column("labels").to_pylist()
         sets = [np.frombuffer(raw, dtype="<u4") for raw in part.column("folded").to_pylist()]
         rights = np.flatnonzero(~outside)
         a, b = [], []
@@ -257,7 +263,9 @@ def _left_in_buckets(members: DataFrame, docs: DataFrame, shingle: int, every: b
                 common = np.add.reduceat(table[place], begin, dtype=np.int64)
                 table[at] = False
                 alike = np.flatnonzero((100 * common >= THRESHOLD * (sizes + len(sets[i]) - common)) & (labels[rights] != labels[i]))
-                if not every:  # the most alike of each component
+                if asked_for[i] is not None:
+                    alike = alike[np.isin(names[rights[alike]], asked_for[i])]
+                else:  # the most alike of each component
                     alike = alike[np.argsort(-(common[alike] / (sizes[alike] + len(sets[i]))), kind="stable")]
                     alike = alike[np.unique(labels[rights[alike]], return_index=True)[1]]
                 a += [i] * len(alike)
@@ -291,13 +299,20 @@ def _class_links(classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame
     rest = stars.join(best, ["a", "b"], "left_anti").select("a", "b")
     rest = _with_labels(_with_labels(rest, labels, "a", "la"), labels, "b", "lb").filter("la <> lb").select("a", "b")
     found = durable(found.unionByName(_confirmed(_likely(rest, classes), docs, shingle)))
-    for every in (False, True):
-        labelled = _with_labels(members.drop("company"), components(found), "rep", "label")
-        pairs = durable(_left_in_buckets(labelled, docs, shingle, every))
-        more = durable(_confirmed(pairs, docs, shingle))
-        found = found.unionByName(more)
-        if more.count() == pairs.count():  # no pair was alike by folding only: nothing can hide behind it
-            break
+    members = members.drop("company")
+    labelled = _with_labels(members, components(found), "rep", "label")
+    pairs = durable(_left_in_buckets(labelled, docs, shingle))
+    more = durable(_confirmed(pairs, docs, shingle))
+    found = durable(found.unionByName(more))
+    # a pair that was alike by folding only may hide one that is alike: its class and that component are gone through whole
+    failed = durable(pairs.join(more, ["a", "b"], "left_anti"))
+    if not failed.isEmpty():
+        labels = components(found)
+        split = _with_labels(_with_labels(failed, labels, "a", "la"), labels, "b", "lb").filter("la <> lb")
+        ways = split.select(F.col("a").alias("rep"), F.col("lb").alias("label")).unionByName(split.select(F.col("b").alias("rep"), F.col("la").alias("label")))
+        wanted = durable(ways.groupBy("rep").agg(F.collect_set("label").alias("labels")))
+        pairs = _left_in_buckets(_with_labels(members, labels, "rep", "label"), docs, shingle, wanted)
+        found = durable(found.unionByName(_confirmed(durable(pairs), docs, shingle)))
     return found
 
 

@@ -24,8 +24,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of two lines at least, as its SQL has them; the pipeline stage also cuts single long lines."""
-    return line_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), alone=None)
+    return line_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +116,8 @@ lines as (select doc_id, unnest(ls) as line, unnest(range(len(ls))) as no from s
 used as (select *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) as t, row_number() over (partition by doc_id order by no) as i
          from lines where trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''),
 two as (select a.doc_id, a.i, a.no as n0, b.no as n1, a.t || chr(10) || b.t as k from used a join used b on a.doc_id = b.doc_id and b.i = a.i + 1),
-ranked as (select *, row_number() over (partition by k order by doc_id, i) as r from two),
+one as (select doc_id, i, no as n0, no as n1, t as k from used where length(t) >= 100 or (length(t) >= 19 and len(string_split_regex(t, '[ \t\r\x0b\x0c]+')) >= 10)),
+ranked as (select *, row_number() over (partition by k order by doc_id, i) as r from (select * from two union all select * from one)),
 gone as (select doc_id, n0 as no from ranked where r > 1 union select doc_id, n1 from ranked where r > 1),
 counted as (select doc_id, count(*) as n_removed from gone group by doc_id),
 kept as (select l.doc_id, string_agg(l.line, chr(10) order by l.no) as text from lines l left join gone g on l.doc_id = g.doc_id and l.no = g.no where g.no is null group by l.doc_id)
