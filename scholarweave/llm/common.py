@@ -39,19 +39,24 @@ def add_columns(df: DataFrame, work: Callable[[pa.RecordBatch], dict[str, pa.Arr
 
     A made column takes the place of a kept one of the same name.
     """
-    made_names = {field.split()[0].strip("`") for field in re.split(r",(?![^<]*>)", schema)}
+    made_fields = re.split(r",(?![^<]*>)\s*", schema)
+    made_names = [field.split()[0].strip("`") for field in made_fields]
     keep = [c for c in keep if c not in made_names]
     columns = list(dict.fromkeys(keep + need))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = work(batch)
-            arrays = [batch.column(batch.schema.get_field_index(c)) for c in keep] + list(made.values())
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *made])
-
-    chosen = df.select(*[F.col(_quoted(c)) for c in columns])
-    kept = ", ".join(f"{_quoted(c)} {chosen.schema[c].dataType.simpleString()}" for c in keep)
-    return chosen.mapInArrow(run, f"{kept}, {schema}" if keep else schema)
+            batch = batch.rename_columns(columns)
+            found = work(batch)
+            made = [found[name] for name in made_names]
+            yield pa.RecordBatch.from_arrays(batch.columns[: len(keep)] + made, names=[f"_{i}" for i in range(len(keep) + len(made))])
+
+    # columns go through the task under plain names, since theirs may hold dots or backticks
+    chosen = df.select(*[F.col(_quoted(c)).alias(f"_{i}") for i, c in enumerate(columns)])
+    fields = [(f"_{i}", f.dataType.simpleString()) for i, f in enumerate(chosen.schema.fields[: len(keep)])]
+    fields += [(f"_{len(keep) + i}", field.split(None, 1)[1]) for i, field in enumerate(made_fields)]
+    made = chosen.mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in fields))
+    return made.toDF(*keep, *made_names)
 
 
 def _quoted(name: str) -> str:
