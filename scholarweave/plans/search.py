@@ -280,6 +280,23 @@ c AS (SELECT x.b AS id, sum(1.0 / p2.paths) AS dep FROM p2 JOIN adj x ON x.a = p
 SELECT s_suppkey AS id, round(coalesce(dep, 0) / ((n - 1.0) * (n - 2.0)), 6) AS centrality FROM supplier LEFT JOIN c ON id = s_suppkey, (SELECT count(*) AS n FROM supplier), d3
 WHERE far = 0"""
 
+
+
+def between(depth):
+    """Levels of paths from every node, and their dependencies back; gives no rows if ``depth`` levels are not enough."""
+    steps = ["l0 AS MATERIALIZED (SELECT id AS s, id AS t, CAST(1 AS DOUBLE) AS paths FROM e)"]
+    for i in range(1, depth + 1):
+        seen = " AND ".join(f"NOT EXISTS (SELECT 1 FROM l{j} z WHERE z.s = x.s AND z.t = u.b)" for j in (i - 1, i - 2) if j >= 0)
+        steps.append(f"l{i} AS MATERIALIZED (SELECT x.s, u.b AS t, sum(x.paths) AS paths FROM l{i - 1} x JOIN u ON u.a = x.t WHERE {seen} GROUP BY 1, 2)")
+    steps.append(f"b{depth} AS (SELECT *, CAST(0 AS DOUBLE) AS dep FROM l{depth})")
+    for i in range(depth - 1, 0, -1):
+        flow = f"SELECT w.s, u.a AS t, sum((1 + w.dep) / w.paths) AS f FROM b{i + 1} w JOIN u ON u.b = w.t GROUP BY 1, 2"
+        steps.append(f"b{i} AS MATERIALIZED (SELECT x.s, x.t, x.paths, x.paths * coalesce(f, 0) AS dep FROM l{i} x LEFT JOIN ({flow}) g ON g.s = x.s AND g.t = x.t)")
+    every = " UNION ALL ".join(f"SELECT t, dep FROM b{i}" for i in range(1, depth + 1))
+    return ",\n".join(steps) + f""", d AS (SELECT t AS id, sum(dep) AS dep FROM ({every}) GROUP BY 1)
+SELECT e.id, round(coalesce(dep, 0) / ((n - 1.0) * (n - 2.0)), 6) AS centrality FROM e LEFT JOIN d ON d.id = e.id, (SELECT count(*) AS n FROM e) WHERE NOT EXISTS (SELECT 1 FROM l{depth})"""
+
+
 SQL = {
     "knn_topk_per_node": f"WITH {nearest(10)} SELECT src, dst, round(sim, 6) AS similarity, CAST(rk AS INTEGER) AS rank FROM nn",
     "similarity_top_percent": f"WITH {nearest('greatest(1, (SELECT count(*) FROM e) * 20 // 100)')} SELECT src, dst, round(sim, 6) AS similarity, CAST(rk AS INTEGER) AS rank FROM nn",
@@ -324,6 +341,7 @@ SELECT size, count(*) AS components FROM (SELECT c, count(*) AS size FROM scc GR
 SELECT round(avg(clustering), 6) AS average_clustering, round(sum(triangles) * 2.0 / sum(degree * (degree - 1.0)), 6) AS transitivity FROM loc""",
     "eigenvector_centrality": with_views(AUTH, COLLAB, WHOLE) + ", " + power_rounds(12),
     "betweenness_centrality": with_views(AUTH, COLLAB, WHOLE) + ", " + BETWEEN,
+    "betweenness_semantic": f"WITH {nearest(3)}, {UNDIRECTED}, " + between(14),
     "text_encoding": r"""WITH t AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS w FROM documents),
 h AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 7) AS BIGINT) % 64 AS pos, CASE WHEN CAST('0x' || substr(md5(w), 8, 1) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END AS s FROM t),
 b AS (SELECT doc_id, pos, CAST(sum(s) AS DOUBLE) AS x FROM h GROUP BY 1, 2)
