@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from scholarweave.fixed_values import EMBEDDING_MODELS
 from scholarweave.functions import answers, encoding, node_text, prompts, questions
 from scholarweave.functions import text as tx
-from scholarweave.operators import context, expansion, memory, question_path
+from scholarweave.operators import context, embedding_store, expansion, memory, question_path
 from scholarweave.plans import graph
-from scholarweave.session import durable
+from scholarweave.session import durable, scratch
 from scholarweave.sources import tables as t
 
 # Openings put before the users' own words, so that every kind of question occurs.
@@ -126,6 +126,22 @@ def question_answers(spark, d):
     return out.select("query_id", "strategy", "total_nodes", "total_tokens", F.size("source_nodes").alias("sources"), F.col("error").isNull().alias("answered"))
 
 
+def embedding_updates(spark, d):
+    """Three runs over papers, keywords and journals: all are new; every tenth paper has another title and every seventh is gone; nothing has changed."""
+    nodes = durable(graph.described(spark, d)[0].filter("node_type <> 'author'"))
+    number = F.regexp_extract("id", "([0-9]+)$", 1).cast("bigint")
+    is_paper = F.col("node_type") == "paper"
+    later = nodes.filter(~is_paper | (number % 7 != 0)).withColumn("title", F.when(is_paper & (number % 10 == 0), F.concat("title", F.lit(" revised"))).otherwise(F.col("title")))
+    path, done = scratch(spark, "embeddings"), []
+    for state in (nodes, later, later):
+        done.append(embedding_store.update(state, path, encoding.encode, "hashing-64"))
+        if len(done) == 2:
+            embedding_store.compact(spark, path)
+    stored = embedding_store.read_store(spark, path).count()
+    rows = [(i + 1, r["encoded"], r["kept"], r["removed"], stored) for i, r in enumerate(done)]
+    return spark.createDataFrame(rows, "run int, encoded long, kept long, removed long, stored_at_end long")
+
+
 def node_priority(spark, d):
     nodes, _, scored, _, asked_for = subgraph(spark, d)
     return context.node_priorities(scored, nodes, asked_for).select("query_id", "node_id", "priority")
@@ -277,7 +293,7 @@ QUERIES = {
         query_language, query_entities, query_complexity, query_type, query_plan, node_priority, edge_priority, context_sections,
         token_budget, context_text, docs_ranked, prompt_build, qa_prompt, answer_cleanup, meaningless_filter, answer_run, node_texts,
         memory_fifo, memory_relevance, memory_frequency, memory_hybrid, memory_window, memory_check, memory_stats,
-        session_summary, cache_ttl, usage_stats, question_seeds, question_subgraphs, question_documents, question_answers,
+        session_summary, cache_ttl, usage_stats, question_seeds, question_subgraphs, question_documents, question_answers, embedding_updates,
     )
 }
 

@@ -156,6 +156,10 @@ SELECT conv_id, turn, search_mode, CASE WHEN len(authors) > 3 THEN 'narrow' WHEN
 s AS (SELECT qs.id AS query_id, lab.id AS node_id, list_cosine_similarity(qe.v, ne.v) AS sim FROM qs JOIN qe ON qe.id = qs.id JOIN lab ON list_contains(qs.rn, lab.ty) OR len(qs.rn) = 0 JOIN ne ON ne.id = lab.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, node_id) AS rk FROM s WHERE sim >= 0.2)
 SELECT query_id, node_id, round(sim, 5) AS similarity, CAST(rk AS INTEGER) AS rank FROM r WHERE rk <= 5""",
+    "embedding_updates": """WITH n AS (SELECT (SELECT count(*) FROM nation) + (SELECT count(DISTINCT p_name) FROM lineitem JOIN part ON l_partkey = p_partkey) AS j),
+p AS (SELECT count(*) AS p, count(*) FILTER (o_orderkey % 7 = 0) AS gone, count(*) FILTER (o_orderkey % 7 <> 0 AND o_orderkey % 10 = 0) AS changed FROM orders)
+SELECT 1::INTEGER AS run, p + j AS encoded, 0::BIGINT AS kept, 0::BIGINT AS removed, p + j - gone AS stored_at_end FROM n, p
+UNION ALL SELECT 2, changed, p + j - gone - changed, gone, p + j - gone FROM n, p UNION ALL SELECT 3, 0, p + j - gone, 0, p + j - gone FROM n, p""",
     "node_priority": PRIO + " SELECT query_id, node_id, CASE WHEN s >= 0.8 THEN 'critical' WHEN s >= 0.6 THEN 'high' WHEN s >= 0.4 THEN 'medium' ELSE 'low' END AS priority FROM pr",
     "edge_priority": f"""{PRIO}, {INDUCED}, ep AS (SELECT i.query_id, edge_type, round((a.relevance + b.relevance) / 2 + {IMPORTANCE}, 9) AS s FROM i
   JOIN rel a ON a.query_id = i.query_id AND a.node_id = src JOIN rel b ON b.query_id = i.query_id AND b.node_id = dst WHERE rn <= 500)
