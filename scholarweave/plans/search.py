@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scholarweave.functions import encoding
-from scholarweave.operators import centrality, communities, components, graph_stats, ivf, vectors
+from scholarweave.operators import centrality, communities, components, graph_analysis, graph_stats, ivf, vectors
 from scholarweave.operators.ranking import distribution, group_rank
 from scholarweave.plans.builders import citation_graph, collaboration_graph
 from scholarweave.plans.sql_views import AUTH, COLLAB, with_views
@@ -169,6 +169,12 @@ def betweenness_semantic(spark, d):
     return _round(centrality.betweenness_centrality(*semantic_graph(spark, d, 3)), "centrality")
 
 
+def graph_analyses(spark, d):
+    """The analyses of the collaboration and of the similarity graph in one table."""
+    graphs = {"collaboration": collaboration_graph(spark, d), "similarity": semantic_graph(spark, d, 1)}
+    return _round(graph_analysis.united(graphs), "value")
+
+
 def louvain_communities(spark, d):
     return communities.communities(*semantic_graph(spark, d, 5))
 
@@ -209,7 +215,7 @@ QUERIES = {
         mean_vector_search, vector_normalize, node_embedding, vector_store_info, embedding_counts, pairwise_similarity,
         similarity_distribution, semantic_edges_ranked, semantic_degrees, connected_components, component_sizes,
         citation_components, scc_sizes, clustering_coefficient, transitivity, eigenvector_centrality,
-        betweenness_centrality, betweenness_semantic, louvain_communities, louvain_stable, text_encoding, chunking, passage_retrieval,
+        betweenness_centrality, betweenness_semantic, graph_analyses, louvain_communities, louvain_stable, text_encoding, chunking, passage_retrieval,
     )
 }
 
@@ -282,6 +288,19 @@ WHERE far = 0"""
 
 
 
+def analysed(graph):
+    """The measures of ``graph`` (views <graph>_n of id and <graph>_e of a < b)."""
+    return f"""{graph}_u AS (SELECT a, b FROM {graph}_e UNION ALL SELECT b, a FROM {graph}_e),
+{graph}_d AS MATERIALIZED (SELECT id, count(u.b) AS degree FROM {graph}_n LEFT JOIN {graph}_u u ON u.a = id GROUP BY 1),
+{graph}_w(id, root) AS (SELECT id, id FROM {graph}_n UNION SELECT u.b, w.root FROM {graph}_w w JOIN {graph}_u u ON u.a = w.id),
+{graph}_c AS MATERIALIZED (SELECT component, count(*) AS size FROM (SELECT id, min(root) AS component FROM {graph}_w GROUP BY 1) GROUP BY 1),
+{graph}_t AS (SELECT count(*)::DOUBLE AS n, sum(degree) / 2 AS m, max(degree) AS most, count(*) FILTER (degree = 0) AS alone, (SELECT count(*) FROM {graph}_c) AS parts, (SELECT max(size) FROM {graph}_c) AS largest FROM {graph}_d),
+{graph}_a AS (SELECT unnest(['num_nodes', 'num_edges', 'density', 'average_degree', 'max_degree', 'isolated_nodes', 'num_components', 'largest_component', 'largest_share', 'is_connected']) AS measure,
+    NULL::INTEGER AS rank, NULL::VARCHAR AS id, unnest([n, m, 2 * m / (n * (n - 1)), 2 * m / n, most, alone, parts, largest, largest / n, (parts = 1)::INTEGER]::DOUBLE[]) AS value FROM {graph}_t
+  UNION ALL SELECT 'top_degree', (row_number() OVER (ORDER BY degree DESC, id))::INTEGER AS r, id::VARCHAR, degree::DOUBLE FROM {graph}_d QUALIFY r <= 10
+  UNION ALL SELECT 'top_component', (row_number() OVER (ORDER BY size DESC, component))::INTEGER AS r, component::VARCHAR, size::DOUBLE FROM {graph}_c QUALIFY r <= 10)"""
+
+
 def between(depth):
     """Levels of paths from every node, and their dependencies back; gives no rows if ``depth`` levels are not enough."""
     steps = ["l0 AS MATERIALIZED (SELECT id AS s, id AS t, CAST(1 AS DOUBLE) AS paths FROM e)"]
@@ -314,6 +333,11 @@ f AS (SELECT p.id AS src, own.id AS dst, row_number() OVER (PARTITION BY p.id OR
   FROM ranked p JOIN own ON own.list = p.list WHERE p.r <= {IVF_PROBES}),
 h AS (SELECT nn.src, count(f.dst) / count(*) AS recall FROM nn LEFT JOIN f ON f.src = nn.src AND f.dst = nn.dst AND f.rk <= 11 GROUP BY 1)
 SELECT count(*) AS queries, round(avg(recall), 4) AS recall, avg(recall) >= 0.9 AS enough FROM h""",
+    "graph_analyses": "WITH RECURSIVE " + with_views(AUTH, COLLAB).removeprefix("WITH ") + f""", {nearest(1)},
+co_n AS (SELECT s_suppkey AS id FROM supplier), co_e AS (SELECT DISTINCT least(author1, author2) AS a, greatest(author1, author2) AS b FROM collab),
+si_n AS (SELECT id FROM e), si_e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM nn),
+{analysed('co')}, {analysed('si')}
+SELECT 'collaboration' AS graph, measure, rank, id, round(value, 6) AS value FROM co_a UNION ALL SELECT 'similarity', measure, rank, id, round(value, 6) FROM si_a""",
     "louvain_stable": f"""WITH {nearest(5)}, w AS (SELECT src AS id FROM nn UNION ALL SELECT dst FROM nn)
 SELECT id, CAST(count(*) AS DOUBLE) AS weight, true AS stable FROM w GROUP BY 1""",
     "mean_vector_search": searching(15, queries=MEANQ),
