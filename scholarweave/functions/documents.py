@@ -139,10 +139,22 @@ def reference_info(reference: Column) -> Column:
 
 
 def author_names(field: Column) -> Column:
-    """'Last, First and First Last' to a list of 'First Last' names."""
-    # " and " inside braces is part of a name: braces are closed again before the end of the piece
-    outside = r"(?i)\s+and\s+(?=[^{}]*(?:\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}[^{}]*)*$)"
-    people = F.filter(F.transform(F.split(text_or_empty(field), outside), clean_bibtex), lambda p: p != "")
+    """'Last, First and First Last' to a list of 'First Last' names; " and " inside braces of any depth is part of a name."""
+    parts = F.split(F.regexp_replace(text_or_empty(field), r"(?i)(\s+and\s+)", "\x00$1\x00"), "\x00")  # names and what is between them, in turn
+    numbered = F.transform(parts, lambda p, i: F.struct(p.alias("text"), (i % 2 == 1).alias("between")))
+    braces = lambda t, brace: F.length(t) - F.length(F.replace(t, F.lit(brace), F.lit("")))
+    nothing = F.struct(F.array().cast("array<string>").alias("names"), F.lit("").alias("open"), F.lit(0).alias("depth"))
+
+    def add(state: Column, part: Column) -> Column:
+        ends = part["between"] & (state["depth"] <= 0)
+        return F.struct(
+            F.when(ends, F.array_append(state["names"], state["open"])).otherwise(state["names"]).alias("names"),
+            F.when(ends, "").otherwise(F.concat(state["open"], part["text"])).alias("open"),
+            (state["depth"] + braces(part["text"], "{") - braces(part["text"], "}")).alias("depth"),
+        )
+
+    names = F.aggregate(numbered, nothing, add, lambda s: F.array_append(s["names"], s["open"]))
+    people = F.filter(F.transform(names, clean_bibtex), lambda p: p != "")
     return F.transform(
         people,
         lambda p: F.when(

@@ -140,3 +140,15 @@ def test_store_layouts(spark, tmp_path):
     assert files.find_store(spark, str(tmp_path)) == "flat"
     writers.write_store(files.read_embeddings(spark, f"{tmp_path}/flat"), str(tmp_path))
     assert files.find_store(spark, str(tmp_path)) == "partitioned"
+
+
+def test_author_names_keep_braces_of_any_depth(spark):
+    from scholarweave.functions.documents import author_names
+
+    rows = [
+        ("Smith, John and Mary Jones AND {Barnes and Noble}", ["John Smith", "Mary Jones", "Barnes and Noble"]),
+        ("{{{A and {B and {C}}} and D} Group} and Lee, Ann", ["A and B and C and D Group", "Ann Lee"]),
+        ("{open and Lee, Ann", ["Ann open and Lee"]), ("", []), (None, []),
+    ]
+    df = spark.createDataFrame([(r[0],) for r in rows], "a string").select(author_names(F.col("a")).alias("n"))
+    assert [r["n"] for r in df.collect()] == [r[1] for r in rows]
