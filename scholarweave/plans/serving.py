@@ -147,6 +147,17 @@ def node_priority(spark, d):
     return context.node_priorities(scored, nodes, asked_for).select("query_id", "node_id", "priority")
 
 
+def context_totals(spark, d):
+    nodes, edges, scored, _, asked_for = subgraph(spark, d)
+    return context.context_totals(context.node_priorities(scored, nodes, asked_for), context.edge_priorities(edges, scored))
+
+
+def store_metadata(spark, d):
+    """Papers' lists as a vector store takes them."""
+    papers = graph.described(spark, d)[0].filter("node_type = 'paper'").select("id", "node_type", "authors", "keywords")
+    return node_text.flat_metadata(papers)
+
+
 def edge_priority(spark, d):
     _, edges, scored, _, _ = subgraph(spark, d)
     return context.edge_priorities(edges, scored).groupBy("query_id", "edge_type", "priority").agg(F.count("*").alias("edges"))
@@ -290,7 +301,7 @@ def usage_stats(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        query_language, query_entities, query_complexity, query_type, query_plan, node_priority, edge_priority, context_sections,
+        query_language, query_entities, query_complexity, query_type, query_plan, node_priority, edge_priority, context_totals, store_metadata, context_sections,
         token_budget, context_text, docs_ranked, prompt_build, qa_prompt, answer_cleanup, meaningless_filter, answer_run, node_texts,
         memory_fifo, memory_relevance, memory_frequency, memory_hybrid, memory_window, memory_check, memory_stats,
         session_summary, cache_ttl, usage_stats, question_seeds, question_subgraphs, question_documents, question_answers, embedding_updates,

@@ -129,8 +129,9 @@ SELECT session_id, turn FROM r WHERE rk <= greatest(3, floor(n * 0.3))"""
 
 NOW = 1704844800
 PRIO = f"""{LOCAL}, {REL}, pr AS (SELECT rel.query_id, rel.node_id, relevance, round(relevance + CASE WHEN sim IS NOT NULL THEN 0.3 ELSE 0 END
-   + CASE WHEN rel.node_id LIKE 'paper_%' THEN 0.2 + 0.15 WHEN rel.node_id LIKE 'author_%' THEN 0.15 ELSE 0.05 END, 9) AS s
-  FROM rel LEFT JOIN seeds ON seeds.query_id = rel.query_id AND seeds.node_id = rel.node_id)"""
+   + CASE WHEN rel.node_id LIKE 'paper_%' THEN 0.2 + 0.15 WHEN rel.node_id LIKE 'author_%' THEN 0.15 ELSE 0.05 END + CASE WHEN doc_id IS NOT NULL THEN 0.1 ELSE 0 END, 9) AS s
+  FROM rel LEFT JOIN seeds ON seeds.query_id = rel.query_id AND seeds.node_id = rel.node_id
+  LEFT JOIN (SELECT DISTINCT doc_id FROM documents WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 100) d ON 'paper_' || doc_id = rel.node_id)"""
 IMPORTANCE = "CASE edge_type " + " ".join(f"WHEN {lit(k)} THEN {v}" for k, v in EDGE_IMPORTANCE.items()) + " ELSE 0.05 END"
 INDUCED = """i AS (SELECT x.query_id, src, dst, edge_type, row_number() OVER (PARTITION BY x.query_id ORDER BY src, dst, edge_type) AS rn
   FROM lit JOIN m3 x ON x.node_id = src JOIN m3 y ON y.node_id = dst AND y.query_id = x.query_id)"""
@@ -160,6 +161,14 @@ SELECT query_id, node_id, round(sim, 5) AS similarity, CAST(rk AS INTEGER) AS ra
 p AS (SELECT count(*) AS p, count(*) FILTER (o_orderkey % 7 = 0) AS gone, count(*) FILTER (o_orderkey % 7 <> 0 AND o_orderkey % 10 = 0) AS changed FROM orders)
 SELECT 1::INTEGER AS run, p + j AS encoded, 0::BIGINT AS kept, 0::BIGINT AS removed, p + j - gone AS stored_at_end FROM n, p
 UNION ALL SELECT 2, changed, p + j - gone - changed, gone, p + j - gone FROM n, p UNION ALL SELECT 3, 0, p + j - gone, 0, p + j - gone FROM n, p""",
+    "context_totals": f"""{PRIO}, {INDUCED}, np AS (SELECT query_id, CASE WHEN s >= 0.8 THEN 'critical' WHEN s >= 0.6 THEN 'high' WHEN s >= 0.4 THEN 'medium' ELSE 'low' END AS p FROM pr),
+n AS (SELECT query_id, count(*) AS included_nodes, count(*) FILTER (p = 'critical') AS critical, count(*) FILTER (p = 'high') AS high, count(*) FILTER (p = 'medium') AS medium, count(*) FILTER (p = 'low') AS low FROM np GROUP BY 1),
+x AS (SELECT query_id, count(*) AS included_edges FROM i WHERE rn <= 500 GROUP BY 1)
+SELECT n.*, coalesce(included_edges, 0) AS included_edges FROM n LEFT JOIN x USING (query_id)""",
+    "store_metadata": f"""WITH {LABELS}, l AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s, min(l_linenumber) OVER (PARTITION BY l_orderkey, l_suppkey) AS n FROM lineitem),
+a AS (SELECT 'paper_' || o AS id, count(*) AS c, min_by(s_name, (n, s_name)) AS f FROM l JOIN supplier ON s = s_suppkey GROUP BY 1),
+k AS (SELECT 'paper_' || l_orderkey AS id, count(DISTINCT p_name) AS c, min_by(p_name, (l_linenumber, p_name)) AS f FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
+SELECT lab.id, lab.ty AS node_type, CAST(a.c AS INTEGER) AS authors_count, a.f AS authors_first, CAST(k.c AS INTEGER) AS keywords_count, k.f AS keywords_first FROM lab LEFT JOIN a ON a.id = lab.id LEFT JOIN k ON k.id = lab.id WHERE lab.ty = 'paper'""",
     "node_priority": PRIO + " SELECT query_id, node_id, CASE WHEN s >= 0.8 THEN 'critical' WHEN s >= 0.6 THEN 'high' WHEN s >= 0.4 THEN 'medium' ELSE 'low' END AS priority FROM pr",
     "edge_priority": f"""{PRIO}, {INDUCED}, ep AS (SELECT i.query_id, edge_type, round((a.relevance + b.relevance) / 2 + {IMPORTANCE}, 9) AS s FROM i
   JOIN rel a ON a.query_id = i.query_id AND a.node_id = src JOIN rel b ON b.query_id = i.query_id AND b.node_id = dst WHERE rn <= 500)
