@@ -83,10 +83,10 @@ def repeated_runs(docs: DataFrame, run: int = RUN, alone: int | None = ALONE) ->
     windows = rows.select("doc_id", "version", F.explode(made).alias("w")).select("doc_id", "version", "w.*")
     # a window is counted where its place is chosen for the first time, so that the count is of places
     places = rows.select(F.explode(F.array_distinct(F.transform(made, lambda w: F.struct(w["mark"].alias("mark"), w["place"].alias("place"))))).alias("f"))
-    shared = places.groupBy(F.col("f.mark").alias("mark")).count().filter("count > 1").select("mark")
+    # stored, so that the join below has two plain inputs and a common line is split
+    shared = durable(places.groupBy(F.col("f.mark").alias("mark")).count().filter("count > 1").select("mark"))
     candidates = durable(windows.join(shared, "mark", "left_semi").select("a", "b", "doc_id", "version", "at", "n"))
     place = F.struct("doc_id", "version", "at")
-    # stored, so that the join has two plain inputs and a hot window is split
     first = durable(candidates.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("a", "b", "first"))
     later = candidates.join(first, ["a", "b"]).filter(place > F.col("first"))
     spot = F.struct(F.col("first.doc_id").alias("id"), F.col("first.version").alias("version"), (F.col("at") - F.col("first.at")).alias("gap"), "n", "at")
