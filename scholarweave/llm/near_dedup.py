@@ -295,19 +295,19 @@ def _class_links(classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame
     # first each class with its best hub, then the hubs that are still in another component
     best = stars.groupBy("a").agg(F.min_by("b", F.struct(-F.col("company"), F.col("b"))).alias("b"))
     found = durable(_confirmed(_likely(best, classes), docs, shingle))
-    labels = components(found)
+    labels = durable(components(found))  # a hub is a hot key of the joins with it
     rest = stars.join(best, ["a", "b"], "left_anti").select("a", "b")
     rest = _with_labels(_with_labels(rest, labels, "a", "la"), labels, "b", "lb").filter("la <> lb").select("a", "b")
     found = durable(found.unionByName(_confirmed(_likely(rest, classes), docs, shingle)))
     members = members.drop("company")
-    labelled = _with_labels(members, components(found), "rep", "label")
+    labelled = _with_labels(members, durable(components(found)), "rep", "label")
     pairs = durable(_left_in_buckets(labelled, docs, shingle))
     more = durable(_confirmed(pairs, docs, shingle))
     found = durable(found.unionByName(more))
     # a pair that was alike by folding only may hide one that is alike: its class and that component are gone through whole
     failed = durable(pairs.join(more, ["a", "b"], "left_anti"))
     if not failed.isEmpty():
-        labels = components(found)
+        labels = durable(components(found))
         split = _with_labels(_with_labels(failed, labels, "a", "la"), labels, "b", "lb").filter("la <> lb")
         ways = split.select(F.col("a").alias("rep"), F.col("lb").alias("label")).unionByName(split.select(F.col("b").alias("rep"), F.col("la").alias("label")))
         wanted = durable(ways.groupBy("rep").agg(F.collect_set("label").alias("labels")))
