@@ -1,4 +1,7 @@
-"""Removal of passages that stand in an earlier document, by prefix-partitioned suffix trees.
+"""Removal of passages that stand in an earlier document, by groups of suffixes with a common prefix.
+
+Of prefix-partitioned suffix trees this keeps the partition by prefixes of growing length; the subtrees are replaced by hashes of their nodes: no
+suffix is sorted and no tree is laid out, since a tree per group would have to carry the words of every suffix.
 
 The suffixes of a text start at its words. A repeated passage of ``window`` words is a node
 of the suffix tree at that depth with two documents below it. The tree is never built in one
@@ -223,7 +226,7 @@ def remove_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     cut = add_columns(texts, work, "words_sha256 string, removed bigint, digest string, kept string", ["doc_id"], ["text", "starts"])
     cut = cut.dropDuplicates(["doc_id", "words_sha256"])
-    low = profile.filter(F.col("doc_id").isNotNull() & (F.col("n_words") >= window)).groupBy("words_one", "words_two", "n_words").agg(F.min("doc_id").alias("low"))
+    low = _lowest(profile.filter(F.col("doc_id").isNotNull() & (F.col("n_words") >= window)), "words_one", "words_two", "n_words")
     low = low.select(F.col("words_one").alias("_one"), F.col("words_two").alias("_two"), F.col("n_words").alias("_n"), "low")
     same = (F.col("words_one") == F.col("_one")) & (F.col("words_two") == F.col("_two")) & (F.col("n_words") == F.col("_n"))
     rows = profile.select("doc_id", "n_words", "words_one", "words_two", "words_sha256").join(low, same, "left")
