@@ -66,6 +66,40 @@ def test_strong_components(spark):
     assert out == {"a": "a", "b": "b", "c": "c", "d": "e", "e": "e", "f": "f", "g": "g"}
 
 
+def strong_by_reach(nodes, edges):
+    out = defaultdict(set)
+    for a, b in edges:
+        out[a].add(b)
+    reach = {}
+    for v in nodes:
+        seen, stack = {v}, [v]
+        while stack:
+            for w in out[stack.pop()] - seen:
+                seen.add(w)
+                stack.append(w)
+        reach[v] = seen
+    return {v: max(w for w in reach[v] if v in reach[w]) for v in nodes}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_strong_components_of_a_mixed_graph(spark, seed):
+    """Random edges, a path of 60 nodes, and a ring with a chord."""
+    rng = random.Random(seed)
+    names = [f"v{i:03d}" for i in range(50)]
+    pairs = [(a, b) for a in names for b in names if rng.random() < 0.025]
+    path, ring = [f"p{i:02d}" for i in range(60)], [f"r{i:02d}" for i in range(30)]
+    pairs += list(zip(path, path[1:])) + list(zip(ring, ring[1:] + ring[:1])) + [("r20", "r05"), ("v007", "p10"), ("p50", "r03")]
+    everyone = names + path + ring + ["alone"]
+    got = dict(map(tuple, components.strongly_connected_components(*graph(spark, everyone, pairs)).collect()))
+    assert got == strong_by_reach(everyone, pairs)
+
+
+def test_a_ring_of_ten_thousand_nodes_takes_few_rounds(spark):
+    ring = spark.range(10000).select(F.col("id").alias("src"), ((F.col("id") + 1) % 10000).alias("dst"))
+    found = components.strongly_connected_components(spark.range(10000), ring, max_rounds=39)
+    assert [tuple(r) for r in found.select("component").distinct().collect()] == [(9999,)]
+
+
 def brandes(nodes, around):
     score = dict.fromkeys(nodes, 0.0)
     for s in nodes:
