@@ -73,6 +73,23 @@ def last_turns(turns: DataFrame, k: int = 10) -> DataFrame:
     return top_per_group(turns, ["session_id"], [F.desc("turn")], k, "_r").drop("_r")
 
 
+WHOLE, WINDOWED = ("buffer",), ("window", "summary_buffer", "graphrag_enhanced")
+
+
+def select_memory(turns: DataFrame, kinds: DataFrame, k: int = 10, fallback: int = 5) -> DataFrame:
+    """The turns that each session's kind of memory shows (``kinds``: session_id, memory_type), where no model writes summaries.
+
+    A buffer shows all; a window, a summary buffer and the enhanced kind the last ``k``; a summary, an unknown kind and a session without
+    one the last ``fallback``.
+    """
+    kind = F.lower(F.coalesce("memory_type", F.lit("")))
+    one = kinds.groupBy("session_id").agg(F.min("memory_type").alias("memory_type"))
+    shown = F.when(kind.isin(*WINDOWED), k).when(kind.isin(*WHOLE), F.lit(None)).otherwise(fallback)
+    sized = turns.join(one, "session_id", "left").withColumn("_k", shown).drop("memory_type")
+    last = top_per_group(sized.filter("_k IS NOT NULL"), ["session_id"], [F.desc("turn")], max(k, fallback), "_r").filter("_r <= _k").drop("_r", "_k")
+    return sized.filter("_k IS NULL").drop("_k").unionByName(last)
+
+
 def session_summary(turns: DataFrame, recent: int = 5, words_each: int = 3, topics: int = 5) -> DataFrame:
     """(session_id, total_turns, topics): most frequent of the first words of the last turns."""
     totals = turns.groupBy("session_id").agg(F.count("*").alias("total_turns"))

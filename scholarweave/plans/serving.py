@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scholarweave.fixed_values import EMBEDDING_MODELS
 from scholarweave.functions import answers, encoding, node_text, prompts, questions
 from scholarweave.functions import text as tx
-from scholarweave.operators import context, embedding_store, expansion, memory, question_path
+from scholarweave.operators import context, embedding_store, expansion, memory, question_path, session_store
 from scholarweave.plans import graph
 from scholarweave.session import durable, scratch
 from scholarweave.sources import tables as t
@@ -271,6 +271,26 @@ def memory_window(spark, d):
     return _kept(memory.last_turns(turns(spark, d), 10))
 
 
+def memory_kinds(spark, d):
+    """What each session shows by its kind of memory; the kinds go round."""
+    rows = turns(spark, d)
+    kinds = ["buffer", "window", "summary", "summary_buffer", "graphrag_enhanced", "other"]
+    at = F.regexp_extract("session_id", "([0-9]+)$", 1).cast("int")
+    named = rows.select("session_id").distinct().select("session_id", F.element_at(F.array(*[F.lit(k) for k in kinds]), at % len(kinds) + 1).alias("memory_type"))
+    return _kept(memory.select_memory(rows, named))
+
+
+def kept_histories(spark, d):
+    """All turns go to a store in two parts, after the first of which one session is cleared; read back after compaction."""
+    rows, path = durable(turns(spark, d)), scratch(spark, "histories")
+    first = F.col("turn") % 100 < 2
+    session_store.append_turns(rows.filter(first), path)
+    session_store.clear_sessions(rows.filter("session_id = 's-3'"), path)
+    session_store.append_turns(rows.filter(~first), path)
+    session_store.compact(spark, path)
+    return session_store.read_histories(spark, path).select("session_id", "turn", "tokens", F.unix_seconds("ts").alias("at"), F.array_join("keywords", "|").alias("keywords"))
+
+
 def memory_check(spark, d):
     return memory.needs_compression(turns(spark, d))
 
@@ -303,7 +323,7 @@ QUERIES = {
     for f in (
         query_language, query_entities, query_complexity, query_type, query_plan, node_priority, edge_priority, context_totals, store_metadata, context_sections,
         token_budget, context_text, docs_ranked, prompt_build, qa_prompt, answer_cleanup, meaningless_filter, answer_run, node_texts,
-        memory_fifo, memory_relevance, memory_frequency, memory_hybrid, memory_window, memory_check, memory_stats,
+        memory_fifo, memory_relevance, memory_frequency, memory_hybrid, memory_window, memory_kinds, kept_histories, memory_check, memory_stats,
         session_summary, cache_ttl, usage_stats, question_seeds, question_subgraphs, question_documents, question_answers, embedding_updates,
     )
 }

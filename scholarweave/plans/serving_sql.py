@@ -187,6 +187,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn) AS rk,
 o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY relevance DESC, turn) AS orank FROM r WHERE n > 10 AND rk <= n - n // 2)
 SELECT session_id, turn FROM r WHERE n <= 10 OR rk > n - n // 2 UNION ALL SELECT session_id, turn FROM o WHERE orank <= 10 - n // 2""",
     "memory_window": f"WITH {TURNS}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS rk FROM turns) SELECT session_id, turn FROM r WHERE rk <= 10",
+    "memory_kinds": f"""WITH {TURNS}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS rk, CAST(session_id[3:] AS INTEGER) % 6 AS kind FROM turns)
+SELECT session_id, turn FROM r WHERE kind = 0 OR (kind IN (1, 3, 4) AND rk <= 10) OR rk <= 5""",
+    "kept_histories": f"""WITH {TURNS} SELECT session_id, turn, tokens, tsec AS at, array_to_string(keywords, '|') AS keywords FROM turns WHERE session_id <> 's-3' OR turn % 100 >= 2""",
     "memory_check": f"WITH {TURNS} SELECT session_id, count(*) AS turns, CAST(sum(tokens) AS BIGINT) AS tokens, sum(tokens) > 4000 OR count(*) > 20 AS compress FROM turns GROUP BY 1",
     "memory_stats": f"WITH {TURNS} SELECT session_id, count(*) AS total_turns, CAST(sum(tokens) AS BIGINT) AS total_tokens, min(tsec) AS oldest, max(tsec) AS newest FROM turns GROUP BY 1",
     "session_summary": f"""WITH {TURNS}, l AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS rk FROM turns),

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scholarweave.streaming import state
+from scholarweave.session import scratch
+from scholarweave.streaming import kept, state
 
 
 def stream_sessions(spark, d):
@@ -21,8 +22,27 @@ def stream_cache(spark, d):
     return out.groupBy("key").agg(F.count("*").alias("calls"), F.count_if("hit").alias("hits"))
 
 
-QUERIES = {f.__name__: f for f in (stream_sessions, stream_cache)}
+def stream_kept_cache(spark, d):
+    """Every user's cache of answers by event type: the first half of the month, a stop, and a start from the stored state for the rest."""
+    rows = state.read_table_stream(spark, d, "events")
+    ts = F.col("ts").cast("timestamp")
+    calls = rows.select(F.col("user_id").cast("string").alias("owner"), F.col("event_type").alias("key"), ts.alias("ts"), F.col("event_id").cast("string").alias("value"))
+    path, half = scratch(spark, "answers"), F.timestamp_seconds(F.lit(1705276800))
+    kept.run_calls(calls.filter(F.col("ts") < half), path, 24 * 3600, 3, 1)
+    kept.compact(spark, path)
+    out = kept.run_calls(calls.filter(F.col("ts") >= half), path, 24 * 3600, 3, 1)
+    return out.groupBy("owner", "key").agg(F.count("*").alias("calls"), F.count_if("hit").alias("hits"))
+
+
+QUERIES = {f.__name__: f for f in (stream_sessions, stream_cache, stream_kept_cache)}
 SQL = {
+    "stream_kept_cache": """WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS owner, event_type AS key, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type, event_id) AS rn FROM events),
+w(owner, key, rn, hit, h) AS (SELECT owner, key, rn, false, [{'k': key, 'b': ts}] FROM e WHERE rn = 1
+  UNION ALL SELECT owner, key, rn, hit, CASE WHEN hit THEN live WHEN len(live) >= 3 THEN list_append(live, {'k': key, 'b': ts})[2:] ELSE list_append(live, {'k': key, 'b': ts}) END
+  FROM (SELECT e.*, live, list_contains(list_transform(live, lambda x: x.k), e.key) AS hit
+    FROM (SELECT w.owner, w.rn + 1 AS n, e.ts AS now, list_filter(h, lambda x: e.ts - x.b < INTERVAL 24 HOUR) AS live FROM w JOIN e ON e.owner = w.owner AND e.rn = w.rn + 1) s
+    JOIN e ON e.owner = s.owner AND e.rn = s.n))
+SELECT owner, key, count(*) AS calls, count(*) FILTER (hit) AS hits FROM w GROUP BY 1, 2""",
     "stream_cache": """WITH RECURSIVE e AS (SELECT user_id || '-' || event_type AS key, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events),
 w(key, rn, born, hit) AS (SELECT key, rn, ts, false FROM e WHERE rn = 1
   UNION ALL SELECT e.key, e.rn, CASE WHEN e.ts - w.born < INTERVAL 24 HOUR THEN w.born ELSE e.ts END, e.ts - w.born < INTERVAL 24 HOUR FROM w JOIN e ON e.key = w.key AND e.rn = w.rn + 1)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -104,3 +105,33 @@ def write_store(embeddings: DataFrame, path: str, kind: str = "partitioned") ->
 def cache_path(folder: str, settings: dict) -> str:
     """Folder of a cached result, named after the settings that produced it."""
     return f"{folder}/{hashlib.md5(json.dumps(settings, sort_keys=True).encode()).hexdigest()}"
+
+
+def modified_at(spark: SparkSession, path: str) -> float:
+    """Seconds at which the newest file of a path was written; 0 if there is none."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return 0.0
+    newest, listed = 0, files.listFiles(root, True)
+    while listed.hasNext():
+        newest = max(newest, listed.next().getModificationTime())
+    return newest / 1000
+
+
+def cached(spark: SparkSession, folder: str, settings: dict, source: str, make: Callable[[], DataFrame], tolerance: float = 1.0) -> DataFrame:
+    """The result of ``make``, stored under its settings and taken from there while the source is as old as it was then.
+
+    ``source`` is the path the result is made from; within ``tolerance`` seconds its time counts as the same. The time is part of
+    the stored result's name and a result without its ``_SUCCESS`` mark is made anew.
+    """
+    path, now = cache_path(folder, settings), modified_at(spark, source)
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in files.listStatus(root) if files.exists(root) else []:
+        kept, _, at = found.getPath().getName().partition("=")
+        if kept == "at_ms" and abs(int(at) / 1000 - now) < tolerance and files.exists(spark._jvm.org.apache.hadoop.fs.Path(found.getPath(), "_SUCCESS")):
+            return spark.read.parquet(found.getPath().toString())
+    fresh = f"{path}/at_ms={int(now * 1000)}"
+    make().write.mode("overwrite").parquet(fresh)
+    return spark.read.parquet(fresh)

@@ -139,12 +139,15 @@ def run_calls(calls: DataFrame, path: str, ttl_seconds: int = 3600, capacity: in
 
     ``calls``: owner, key, ts (timestamp) and value, the answer to save where none is found. Calls are answered in the order of their
     time within a micro-batch; the watermark, which lags by the limit, decides when timers fire. After ``compact`` a
-    run begins with that state and new progress, and is to be given only calls that no earlier run has seen.
+    run begins with that state and new progress, and is to be given only calls that no earlier run has seen. A null owner or key
+    is an empty one; calls without a time are left out.
     """
     spark = calls.sparkSession
     there = versions(spark, path)
     base = next((number for number, whole in there if whole), 0)
-    rows = calls.withWatermark("ts", f"{ttl_seconds} seconds").select("owner", "key", "value", F.unix_micros("ts").alias("at"), "ts")
+    rows = calls.withWatermark("ts", f"{ttl_seconds} seconds").filter("ts IS NOT NULL").select(
+        F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("key", F.lit("")).alias("key"), "value", F.unix_micros("ts").alias("at"), "ts"
+    )
     start = None
     if base:
         first = spark.read.schema(ENTRY).parquet(version_folder(path, base, True)).filter("not gone")

@@ -19,7 +19,7 @@ FAST = [
     "knn_topk_per_node", "vector_search_filtered", "pairwise_similarity", "semantic_edges_ranked", "connected_components", "clustering_coefficient",
     "text_encoding", "unify_nodes", "cross_focuses_on", "temporal_proximity", "bfs_local", "expand_semantic", "induced_subgraph",
     "query_entities", "query_complexity", "query_plan", "memory_relevance", "memory_hybrid", "session_summary", "stream_sessions",
-    "ivf_assignment", "ivf_search", "ivf_recall", "question_seeds", "memory_window", "memory_stats", "graph_analyses", "embedding_updates",
+    "scc_sizes", "memory_kinds", "kept_histories", "stream_kept_cache", "ivf_assignment", "ivf_search", "ivf_recall", "question_seeds", "memory_window", "memory_stats", "graph_analyses", "embedding_updates",
 ]
 
 

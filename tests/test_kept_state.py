@@ -4,6 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
+from scholarweave.operators import memory, session_store
+from scholarweave.sources import writers
 from scholarweave.streaming import kept
 
 SCHEMA = "owner string, key string, second long, value string"
@@ -58,3 +60,51 @@ def test_a_stopped_cache_goes_on_with_the_same_answers(spark, tmp_path):
     assert held == alive
     kept.clear(spark, path, spark.createDataFrame([("hot",)], "owner string"))
     assert {r["owner"] for r in kept.read_cache(spark, path).collect()} <= {"a", "b"}
+
+
+def turns(spark, rows):
+    return spark.createDataFrame(rows, "session_id string, turn long, human string")
+
+
+def test_histories_survive_and_clear(spark, tmp_path):
+    path = str(tmp_path / "histories")
+    assert session_store.read_histories(spark, path).count() == 0
+    session_store.append_turns(turns(spark, [("s", 1, "a"), ("s", 2, "b"), ("t", 1, "c"), (None, 1, "x"), ("t", None, "y")]), path)
+    session_store.append_turns(turns(spark, [("s", 2, "b2"), ("s", 3, None)]), path)
+    held = lambda: sorted((r["session_id"], r["turn"], r["human"]) for r in session_store.read_histories(spark, path).collect())
+    assert held() == [("s", 1, "a"), ("s", 2, "b2"), ("s", 3, None), ("t", 1, "c")]
+    session_store.clear_sessions(spark.createDataFrame([("s",), (None,)], "session_id string"), path)
+    session_store.append_turns(turns(spark, [("s", 1, "new")]), path)
+    assert held() == [("s", 1, "new"), ("t", 1, "c")]
+    session_store.compact(spark, path)
+    assert held() == [("s", 1, "new"), ("t", 1, "c")]
+    one = session_store.read_histories(spark, path, spark.createDataFrame([("t",), ("nobody",)], "session_id string"))
+    assert [r["session_id"] for r in one.collect()] == ["t"]
+
+
+def test_kinds_of_memory(spark):
+    kinds = spark.createDataFrame([("buffer", "BUFFER"), ("window", "window"), ("odd", None)], "session_id string, memory_type string")
+    rows = turns(spark, [(s, i, "") for s in ("buffer", "window", "odd", "none") for i in range(12)])
+    shown = {r["session_id"]: r["n"] for r in memory.select_memory(rows, kinds).groupBy("session_id").agg(F.count("*").alias("n")).collect()}
+    assert shown == {"buffer": 12, "window": 10, "odd": 5, "none": 5}
+
+
+def test_a_cached_result_is_made_anew_when_its_source_changes(spark, tmp_path):
+    import os
+
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(len(made))
+
+    source, folder = tmp_path / "graph.json", str(tmp_path / "cache")
+    source.write_text("{}")
+    os.utime(source, (1_700_000_000, 1_700_000_000))
+    ask = lambda settings: writers.cached(spark, folder, settings, str(source), make).count()
+    assert (ask({"a": 1}), ask({"a": 1}), len(made)) == (1, 1, 1)
+    os.utime(source, (1_700_000_000.5, 1_700_000_000.5))
+    assert (ask({"a": 1}), len(made)) == (1, 1)
+    assert (ask({"a": 2}), len(made)) == (2, 2)
+    os.utime(source, (1_700_000_090, 1_700_000_090))
+    assert (ask({"a": 1}), len(made)) == (3, 3)
