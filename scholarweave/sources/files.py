@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholarweave.functions.text import strip
+from scholarweave.session import scratch
+from scholarweave.sources.json_ranges import RANGE_BYTES, read_objects
 
 try:
     import pypdf
@@ -52,14 +54,27 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter((F.col("question") != "") & ~F.col("question").startswith("#"))
 
 
-def read_graph_json(spark: SparkSession, path: str, required: tuple[str, ...] = ("nodes", "edges")) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of a graph file {"nodes": [...], "edges": [...]}; attributes are inferred."""
-    whole = spark.read.option("multiLine", "true").json(path)
-    missing = [c for c in required if c not in whole.columns]
-    if missing:
-        raise ValueError(f"{path} lacks {missing}")
-    edges = whole.select(F.inline("edges"))
-    return whole.select(F.inline("nodes")), edges.withColumnsRenamed({"source": "src", "target": "dst"})
+def read_graph_json(
+    spark: SparkSession, path: str, required: tuple[str, ...] = ("nodes", "edges"), range_bytes: int = RANGE_BYTES
+) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a graph file {"nodes": [...], "edges": [...]}, or of the folders that ``write_graph_json`` writes.
+
+    A file is read in byte ranges by many tasks (``json_ranges``); its objects become JSON lines in the shared folder, from which
+    attributes are inferred. An empty array gives an empty table. It fails if an array of ``required`` is missing.
+    """
+    if all(_exists(spark, f"{path}/{name}") for name in ("nodes", "edges")):
+        tables = {name: spark.read.json(f"{path}/{name}") for name in ("nodes", "edges")}
+    else:
+        objects, arrays = read_objects(spark, path, range_bytes)
+        missing = [c for c in required if c not in arrays]
+        if missing:
+            raise ValueError(f"{path} lacks {missing}")
+        lines = scratch(spark, "graph")
+        objects.filter(F.col("key").isin("nodes", "edges")).write.partitionBy("key").text(lines)
+        tables = {name: spark.read.json(f"{lines}/key={name}") for name in ("nodes", "edges") if _exists(spark, f"{lines}/key={name}")}
+    nodes = tables.get("nodes", spark.createDataFrame([], "id string"))
+    edges = tables.get("edges", spark.createDataFrame([], "source string, target string"))
+    return nodes, edges.withColumnsRenamed({"source": "src", "target": "dst"})
 
 
 def read_graph_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
