@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from scholarweave.functions.text import clean_keyword
 from scholarweave.operators.pairs import pair_counts
 from scholarweave.operators.ranking import top_per_group
+from scholarweave.session import durable
 
 
 def paper_keyword_table(papers: DataFrame, max_keywords: int | None = None) -> DataFrame:
@@ -58,8 +59,9 @@ def frequent_keywords(keywords: DataFrame, min_freq: int | Column) -> DataFrame:
 
 def cooccurrence_edges(keywords: DataFrame, min_freq: int = 2, min_cooccurrence: int = 2) -> DataFrame:
     """(keyword1, keyword2, weight, jaccard_similarity, normalized_weight), keyword1 < keyword2."""
-    freq = keyword_frequency(keywords).filter(F.col("freq") >= min_freq)
-    kept = keywords.join(freq.select("keyword"), "keyword", "left_semi").select("paper_id", "keyword")
+    keywords = durable(keywords.select("paper_id", "keyword"))  # read for the frequencies and for the pairs
+    freq = durable(keyword_frequency(keywords).filter(F.col("freq") >= min_freq))
+    kept = keywords.join(freq.select("keyword"), "keyword", "left_semi")
     counted = pair_counts(kept, "paper_id", "keyword").filter(F.col("weight") >= min_cooccurrence)
     f1 = freq.select(F.col("keyword").alias("left"), F.col("freq").alias("f1"))
     f2 = freq.select(F.col("keyword").alias("right"), F.col("freq").alias("f2"))

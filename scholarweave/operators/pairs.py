@@ -5,27 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scholarweave.session import durable
+
 # Largest number of members one join key may hold; a bigger group is cut into blocks.
 BLOCK = 512
 
 
+def _listed_pairs(members: DataFrame, group: str, item: str) -> DataFrame:
+    """Pairs of groups that are small enough for one list each: one shuffle by group, and no join."""
+    listed = members.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("_items")).filter(F.size("_items") > 1)
+    firsts = listed.select(group, "_items", F.posexplode("_items").alias("_at", "left"))
+    return firsts.select(group, "left", F.explode(F.slice("_items", F.col("_at") + 2, F.size("_items"))).alias("right"))
+
+
 def pairs_in_group(members: DataFrame, group: str, item: str, block: int = BLOCK) -> DataFrame:
-    """(group, left, right) with left < right, for distinct (group, item) rows.
+    """(group, left, right) with left < right, for distinct (group, item) rows; rows without a group or an item have no pairs.
 
-    Ordinary groups are joined with themselves on the group, so the one shuffle by group
-    serves the count and both sides. A group larger than ``block`` is hashed into blocks
+    The members are stored once, and the groups of more than ``block`` members are counted. All other groups are
+    listed in one row each, whose pairs are laid out where the row is. A larger group is hashed into blocks
     and joined block against block: no join key holds more than about two blocks, and one
     huge paper spreads over as many tasks as it has block pairs.
     """
-    large = (
+    members = durable(members.select(group, item).filter(F.col(group).isNotNull() & F.col(item).isNotNull()))
+    large = durable(
         members.groupBy(group)
         .agg(F.count("*").alias("_n"))
         .filter(F.col("_n") > block)
         .select(group, F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
     )
-    ordinary = members.select(group, item).join(large.select(group), group, "left_anti")
-    l, r = ordinary.alias("l"), ordinary.alias("r")
-    plain = l.join(r, (F.col(f"l.{group}") == F.col(f"r.{group}")) & (F.col(f"l.{item}") < F.col(f"r.{item}")))
+    if large.isEmpty():
+        return _listed_pairs(members, group, item)
+    plain = _listed_pairs(members.join(large.select(group), group, "left_anti"), group, item)
 
     placed = (
         members.join(large, group)
@@ -43,7 +53,7 @@ def pairs_in_group(members: DataFrame, group: str, item: str, block: int = BLOCK
     )
     blocked = placed.alias("l").join(placed.alias("r"), same_cell)
     out = [F.col(f"l.{group}").alias(group), F.col(f"l.{item}").alias("left"), F.col(f"r.{item}").alias("right")]
-    return plain.select(*out).unionByName(blocked.select(*out))
+    return plain.unionByName(blocked.select(*out))
 
 
 def pair_counts(members: DataFrame, group: str, item: str, block: int = BLOCK) -> DataFrame:
