@@ -227,3 +227,28 @@ def test_subgraph_edges_stay_inside(spark):
     inside = {r["node_id"] for r in grown.collect()}
     kept = expansion.induced_edges(grown, edges.withColumn("edge_type", F.lit("cites"))).collect()
     assert len(inside) == 4 and all(r["src"] in inside and r["dst"] in inside for r in kept)
+
+
+def test_neighbours_store_no_copies_of_vectors(spark):
+    """Random vectors, whose cells cannot rule each other out: nothing is stored, and lists of text ids with copies and a repeated id are right."""
+    from pathlib import Path
+
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(600, 16)).astype("float32")
+    rows[100:110] = rows[100]
+    rows[7] = 0.0
+    names = [f"n{i:03d}" for i in range(599)] + ["n000"]
+    store = spark.createDataFrame([(n, [float(x) for x in v]) for n, v in zip(names, rows)], "node_id string, embedding array<float>")
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    stored = lambda: sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    before = stored()
+    out = defaultdict(list)
+    for r in vectors.neighbours(store, 30, positive_only=False, limit_bytes=0, cell=40).collect():
+        out[r["src"]].append((r["rank"], r["dst"]))
+    assert stored() == before
+    unit = rows.astype(float) / np.maximum(np.linalg.norm(rows.astype(float), axis=1, keepdims=True), 1e-30)
+    scores = np.round(unit @ unit.T, 9)
+    for i in range(1, 599):
+        want = sorted((j for j in range(600) if names[j] != names[i]), key=lambda j: (-scores[i, j], names[j]))[:30]
+        assert [d for _, d in sorted(out[names[i]])] == [names[j] for j in want]
+    assert len(out["n000"]) == 60 and all(d != "n000" for _, d in out["n000"])
