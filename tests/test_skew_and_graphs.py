@@ -252,3 +252,44 @@ def test_neighbours_store_no_copies_of_vectors(spark):
         want = sorted((j for j in range(600) if names[j] != names[i]), key=lambda j: (-scores[i, j], names[j]))[:30]
         assert [d for _, d in sorted(out[names[i]])] == [names[j] for j in want]
     assert len(out["n000"]) == 60 and all(d != "n000" for _, d in out["n000"])
+
+
+@pytest.mark.parametrize("held", [40, 1 << 23])
+def test_triangles_in_cells_equal_brute_force(spark, held, monkeypatch):
+    """Held in many blocks and in one, with few paths at a time: a dense part, a hub, loops, repeated and unknown ids."""
+    from scholarweave.operators import triangles
+
+    rng = random.Random(8)
+    names = [f"v{i:02d}" for i in range(40)]
+    pairs = [p for p in itertools.combinations(names[:25], 2) if rng.random() < 0.6] + [("v30", v) for v in names if v != "v30"] + [("v03", "v03"), ("v01", "v00"), ("v00", "v01")]
+    nodes, edges = graph(spark, names, pairs + pairs[:20])
+    monkeypatch.setattr(triangles.count_triangles, "__defaults__", (held,))
+    around = adjacency(pairs)
+    out = {r["id"]: r for r in graph_stats.clustering(nodes, edges).collect()}
+    assert len(out) == 40
+    for v in names:
+        closed = sum(1 for a, b in itertools.combinations(sorted(around[v]), 2) if b in around[a])
+        n = len(around[v])
+        assert (out[v]["degree"], out[v]["triangles"]) == (n, closed) and abs(out[v]["clustering"] - (2 * closed / (n * (n - 1)) if n > 1 else 0)) < 1e-12
+
+
+def test_cells_split_marks_and_paths(monkeypatch):
+    from scholarweave.operators import triangles
+
+    monkeypatch.setattr(triangles, "PATHS", 3)
+    monkeypatch.setattr(triangles, "MARKS", 20)
+    rng = np.random.default_rng(2)
+    after = {u: np.sort(rng.choice(np.arange(u + 1, 60), size=min(59 - u, 7), replace=False)).astype(np.int32) for u in range(59)}
+    lists = np.array(list(after), np.int32), np.array([len(v) for v in after.values()]), np.concatenate(list(after.values()))
+    cell = triangles._Cell([lists])
+    got = defaultdict(int)
+    for batch in (cell.meet(*lists), cell.counts()):
+        for r in batch.to_pylist():
+            got[r["r"]] += r["n"]
+    want = defaultdict(int)
+    for u, vs in after.items():
+        for v in vs:
+            for w in set(vs.tolist()) & set(after.get(int(v), np.array([])).tolist()):
+                for corner in (u, int(v), w):
+                    want[corner] += 1
+    assert want and got == want
