@@ -2,8 +2,8 @@
 
 Centroids come from Lloyd rounds over all vectors. A round ships the centroids (``lists`` x dimension numbers, bounded by the
 parameter) and brings back one partial sum per list and task, added up by Spark. The filed table is written with the
-list as its partition column, so a search names the lists it needs and Spark skips the folders of all others. A large list is
-cut into blocks of at most ``CELL`` vectors, each compared in a task of its own. Results are exact within the lists that are read.
+list as its partition column, so a search names the lists it needs and Spark skips the folders of all others. The queries of a list are
+cut into cells, a task each, which hold their queries while the list streams by. Results are exact within the lists that are read.
 
 Directions decide: vectors are compared by cosine, a centroid is the mean of unit vectors. Zero and null vectors are filed nowhere and a zero
 query finds nothing. Equal similarities (to nine decimals) go by list number, then by node id.
@@ -14,14 +14,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scholarweave.operators.ranking import top_per_group
-from scholarweave.operators.vectors import CELL, DIGITS, _best, _ids, _matrix, _unit, norm
+from scholarweave.operators.vectors import DIGITS, _matrix, _unit, best_in_cells, cell_rows, norm
 
 
 def _usable(store: DataFrame) -> DataFrame:
@@ -115,25 +114,18 @@ def search_index(spark, path: str, queries: DataFrame, k: int, nprobe: int) -> D
 
 def search_filed(filed: DataFrame, probes: DataFrame, k: int) -> DataFrame:
     """Best rows of ``filed`` (node_id, embedding, list) for ``probes`` (query_id, embedding, list)."""
-    sizes = F.broadcast(filed.groupBy("list").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks")))  # one row a list
-    right = filed.join(sizes, "list").select("list", F.pmod(F.xxhash64("node_id"), F.col("blocks")).cast("int").alias("block"), "node_id", "embedding")
-    left = probes.join(sizes, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "query_id", "embedding")
-    schema = T.StructType([
-        T.StructField("query_id", probes.schema["query_id"].dataType), T.StructField("node_id", filed.schema["node_id"].dataType), T.StructField("similarity", T.DoubleType()),
-    ])
-
-    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "node_id": [], "similarity": []})
-        rows, ids, parts = _unit(np.stack(b["embedding"].to_numpy()).astype(np.float64)), _ids(b["node_id"]), []
-        for at in range(0, len(a), 1024):
-            some = a.iloc[at : at + 1024]
-            scores = _unit(np.stack(some["embedding"].to_numpy()).astype(np.float64)) @ rows.T
-            i, j = _best(scores, ids, k)
-            parts.append(pd.DataFrame({"query_id": some["query_id"].to_numpy()[i], "node_id": ids[j], "similarity": scores[i, j]}))
-        return pd.concat(parts, ignore_index=True)
-
-    found = left.groupBy("list", "block").cogroup(right.groupBy("list", "block")).applyInPandas(compare, schema)
+    counted = probes.groupBy("list").agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).orderBy("list").collect()  # one row a list
+    least, cells, total = -(-probes.sparkSession.sparkContext.defaultParallelism // max(len(counted), 1)), [], 0
+    for r in counted:
+        blocks = max(-(-r["n"] // cell_rows(k, r["d"])), least)
+        cells.append((r["list"], total, blocks))
+        total += blocks
+    if not total:
+        return probes.select("query_id", F.lit(None).cast(filed.schema["node_id"].dataType).alias("node_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("rank")).limit(0)
+    placed = F.broadcast(probes.sparkSession.createDataFrame(cells, "list int, first int, blocks int"))
+    left = probes.join(placed, "list").select((F.col("first") + F.pmod(F.xxhash64("query_id"), F.col("blocks"))).cast("int").alias("cell"), "query_id", "embedding")
+    right = filed.join(placed, "list").select(F.explode(F.sequence(F.col("first"), F.col("first") + F.col("blocks") - 1)).alias("cell"), "node_id", "embedding")
+    found = best_in_cells(left, right, total, k).drop("rank")
     return top_per_group(found, ["query_id"], [F.desc(F.round("similarity", DIGITS)), F.asc("node_id")], k)
 
 
