@@ -293,3 +293,30 @@ def test_cells_split_marks_and_paths(monkeypatch):
                 for corner in (u, int(v), w):
                     want[corner] += 1
     assert want and got == want
+
+
+def test_a_scan_of_many_queries_holds_few_scores():
+    """3,000 queries against one batch of 10,000 rows: scores of all pairs would be 240 MB."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    asked, rows = rng.normal(size=(3000, 8)), rng.normal(size=(10000, 8)).astype("float32")
+    rows[50:5000] = rows[50]
+    arrow = pa.schema([("query_id", pa.int64()), ("node_id", pa.int64()), ("similarity", pa.float64())])
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10000)), pa.array(list(rows), pa.list_(pa.float32()))], ["node_id", "embedding"])
+    run = vectors._scan(np.arange(3000), asked, 5, "cosine", arrow)
+    tracemalloc.start()
+    found = [b for b in run(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20
+    got = defaultdict(list)
+    for b in found:
+        for q, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            got[q].append(n)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    scores = np.round(unit(asked[:40]) @ unit(rows.astype(float)).T, 9)
+    for q in range(40):
+        assert sorted(got[q]) == sorted(np.lexsort((np.arange(10000), -scores[q]))[:5].tolist())
