@@ -170,3 +170,18 @@ def test_columns_of_any_name(spark):
     docs = spark.createDataFrame([(1, "some text", "x", "y")], "doc_id long, text string, `a.b` string, `c``d` string")
     made = quality_gam.score(docs, quality_gam.train(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int")))
     assert {"a.b", "c`d"} <= set(made.columns) and made.count() == 1
+
+
+def test_ids_are_packed_and_batches_sliced():
+    import numpy as np
+    import pyarrow as pa
+
+    from scholarweave.llm.common import slices
+
+    lists = [[], [5], [70000, 1, 31999]]
+    made = list(pieces.packed(lists))
+    assert [np.frombuffer(b, np.int32).tolist() for b in made] == lists and len(made[2]) == 12
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * 300, None, "", "b" * 40, "c" * 900] * 7), pa.array(range(35))], ["text", "n"])
+    parts = list(slices(batch, 1000))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch])) and len(parts) > 10
+    assert all(p.nbytes <= 1000 or p.num_rows == 1 for p in parts) and [p.num_rows for p in slices(batch.slice(0, 0), 10)] == [0]
