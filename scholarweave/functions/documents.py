@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scholarweave.fixed_values import (
     ABSTRACT_PATTERNS,
@@ -15,9 +21,11 @@ from scholarweave.fixed_values import (
     REFERENCE_SPLITS,
     REFERENCE_TITLE,
     REFERENCE_YEAR,
+    TECHNICAL_TERMS,
 )
-from scholarweave.functions.text import clean_bibtex, collapse, content_terms, content_tokens, merge_keywords, split_list, strip, technical_terms, text_or_empty, words
+from scholarweave.functions.text import clean_bibtex, collapse, content_terms, content_tokens, merge_keywords, split_list, strip, terms_in, text_or_empty, words
 from scholarweave.operators.ranking import top_per_group
+from scholarweave.session import durable
 
 
 def _between(text: Column, low: int, high: int) -> Column:
@@ -172,7 +180,65 @@ def institutions(field: Column, author_text: Column) -> Column:
 
 
 def frequent_terms(docs: DataFrame, key: str, text: str, min_freq: int = 2, max_terms: int = 20) -> DataFrame:
-    """(key, term, freq, rank): most frequent one- and two-word terms, first occurrence breaks ties."""
+    """(key, term, freq, rank): most frequent one- and two-word terms, first occurrence breaks ties.
+
+    A document with a key of its own is counted where it lies, and its terms are not shuffled. Those that share a key
+    are counted together by an aggregation.
+    """
+    repeated = durable(docs.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_key"))
+    if repeated.isEmpty():
+        return _terms_of_rows(docs, key, text, min_freq, max_terms)
+    same = docs[key].eqNullSafe(repeated["_key"])
+    alone = _terms_of_rows(docs.join(repeated, same, "left_anti"), key, text, min_freq, max_terms)
+    return alone.unionByName(_terms_of_keys(docs.join(repeated, same, "left_semi"), key, text, min_freq, max_terms))
+
+
+# Tokens that are counted at once; a longer document is counted by itself.
+TOKENS = 1 << 19
+
+
+def _terms_of_rows(docs: DataFrame, key: str, text: str, min_freq: int, max_terms: int) -> DataFrame:
+    """``frequent_terms`` of documents whose keys are all different."""
+    schema = T.StructType([docs.schema[key], T.StructField("term", T.StringType()), T.StructField("freq", T.LongType()), T.StructField("rank", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            upto, at = np.cumsum(pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)), 0
+            while at < len(upto):
+                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + TOKENS, "right")))
+                yield _count_terms(batch.slice(at, end - at), min_freq, max_terms)
+                at = end
+
+    return docs.select(key, content_tokens(F.col(text)).alias("_tokens")).mapInArrow(run, schema)
+
+
+def _count_terms(rows: pa.RecordBatch, min_freq: int, max_terms: int) -> pa.RecordBatch:
+    """(key, term, freq, rank) of rows (key, tokens). A term is a number: that of its token, or of its two tokens in turn."""
+    sizes = pc.list_value_length(rows.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+    tokens = rows.column(1).flatten().dictionary_encode()
+    names, code = tokens.dictionary, tokens.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    n, row = max(len(names), 1), np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    pair = np.flatnonzero(row[1:] == row[:-1])
+    in_row = np.concatenate([row, row[pair]])
+    term = np.concatenate([code, n + code[pair] * n + code[pair + 1]])
+    place = np.concatenate([at, sizes[row[pair]] + at[pair]])
+    both, first, freq = np.unique(in_row * (n + n * n) + term, return_index=True, return_counts=True)
+    row, term, place = both // (n + n * n), both % (n + n * n), place[first]
+    order = np.lexsort((place, -freq, row))
+    row, term, freq = row[order], term[order], freq[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+    kept = (rank <= max_terms) & (freq >= min_freq)
+    row, term, freq, rank = row[kept], term[kept], freq[kept], rank[kept]
+    left, right = np.where(term < n, term, (term - n) // n), np.where(term < n, term, (term - n) % n)
+    pairs = pc.binary_join_element_wise(names.take(pa.array(left)), names.take(pa.array(right)), " ")
+    texts = pc.if_else(pa.array(term < n), names.take(pa.array(left)), pairs)
+    columns = [rows.column(0).take(pa.array(row)), texts.cast(pa.string()), pa.array(freq, pa.int64()), pa.array(rank, pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, names=[rows.schema.names[0], "term", "freq", "rank"])
+
+
+def _terms_of_keys(docs: DataFrame, key: str, text: str, min_freq: int, max_terms: int) -> DataFrame:
+    """``frequent_terms`` of documents that may share a key."""
     tokens = docs.select(key, content_tokens(F.col(text)).alias("_tokens"))  # used several times below
     terms = tokens.select(key, F.posexplode(content_terms(F.col("_tokens"))).alias("pos", "term"))
     counted = terms.groupBy(key, "term").agg(F.count("*").alias("freq"), F.min("pos").alias("_first"))
@@ -191,11 +257,12 @@ def document_keywords(docs: DataFrame, key: str, text: str) -> DataFrame:
     from_abstract = _listed(frequent_terms(with_abstract(base, "_t", "_abstract"), key, "_abstract", 1, 10), key, "_a")
     from_text = _listed(frequent_terms(base, key, "_t", 2, 15), key, "_f")
     none = F.array().cast("array<string>")
-    merged = F.concat(
-        keyword_section(F.col("_t")), technical_terms(F.col("_t")), F.coalesce("_a", none), F.coalesce("_f", none)
-    )
+    # lists are made of the text before the joins, which then carry no text; lower-case text is a column of its own
+    own = base.select(key, keyword_section(F.col("_t")).alias("_s"), F.lower(text_or_empty(F.col("_t"))).alias("_low"))
+    own = own.select(key, "_s", terms_in(F.col("_low"), TECHNICAL_TERMS).alias("_d"))
+    merged = F.concat("_s", "_d", F.coalesce("_a", none), F.coalesce("_f", none))
     tidy = F.array_distinct(F.filter(F.transform(merged, lambda k: strip(F.lower(k))), lambda k: F.length(k) > 2))
-    return base.join(from_abstract, key, "left").join(from_text, key, "left").select(key, tidy.alias("keywords"))
+    return own.join(from_abstract, key, "left").join(from_text, key, "left").select(key, tidy.alias("keywords"))
 
 
 def enrich_papers(papers: DataFrame, extracted: DataFrame) -> DataFrame:
