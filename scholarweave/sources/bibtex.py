@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scholarweave.functions.documents import author_names, institutions
 from scholarweave.functions.text import bibtex_keywords, clean_bibtex, strip
@@ -15,8 +18,11 @@ _HEAD = re.compile(r"@?\s*(\w+)\s*[{(]")
 _NAME = re.compile(r"[\s,]*([^\s,={}\"#%()]+)\s*=\s*")
 _KEY = re.compile(r"\s*([^,{}\s=\"]*)\s*(?=[,})]|\Z)")
 _BARE = re.compile(r"[^\s,#{}\"()]+")
-_PIECES = "array<struct<macro:boolean,text:string>>"
-_PARSED = f"array<struct<kind:string,key:string,fields:map<string,{_PIECES}>>>"
+_MARKS = {"}": re.compile("[{}]"), '"': re.compile('[{}"]')}
+_AGAIN = re.compile(r"@\s*(\w+)\s*[{(]")
+_FIELDS = pa.map_(pa.string(), pa.list_(pa.struct([("macro", pa.bool_()), ("text", pa.string())])))
+_PIECES = T.ArrayType(T.StructType().add("macro", "boolean").add("text", "string"))
+_PARSED = T.StructType().add("_kind", "string").add("_key", "string").add("_fields", T.MapType(T.StringType(), _PIECES))
 
 
 def read_entries(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
@@ -41,10 +47,12 @@ def _value(text: str, at: int) -> tuple[list[dict], int]:
             at += 1
         if at < len(text) and text[at] in '{"':
             closing, depth, start = ("}" if text[at] == "{" else '"'), 0, at + 1
-            at = start
-            while at < len(text) and not (depth == 0 and text[at] == closing):
-                depth += (text[at] == "{") - (text[at] == "}")
-                at += 1
+            at = len(text)
+            for mark in _MARKS[closing].finditer(text, start):
+                if depth == 0 and mark[0] == closing:
+                    at = mark.start()
+                    break
+                depth += (mark[0] == "{") - (mark[0] == "}")
             pieces.append({"macro": False, "text": text[start:at]})
             at += 1
         elif bare := _BARE.match(text, at):
@@ -71,10 +79,24 @@ def parse_record(text: str) -> list[dict]:
             pieces, at = _value(text, name.end())
             fields.setdefault(name[1].lower(), pieces)
         out.append({"kind": kind, "key": key, "fields": fields})
-        head = re.compile(r"@\s*(\w+)\s*[{(]").search(text, at)
+        head = _AGAIN.search(text, at)
     return out
 
 
+def _parse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each entry of a record: the record's other columns, kind, key and fields."""
+    for batch in batches:
+        row, found = [], []
+        for at, text in enumerate(batch.column("entry").to_pylist()):
+            entries = parse_record(text or "")
+            found += entries
+            row += [at] * len(entries)
+        rest = [c for c in batch.schema.names if c != "entry"]
+        columns = [batch.column(c).take(pa.array(row, pa.int64())) for c in rest]
+        columns += [pa.array([e["kind"] for e in found], pa.string()), pa.array([e["key"] for e in found], pa.string()), pa.array([[*e["fields"].items()] for e in found], _FIELDS)]
+        yield pa.RecordBatch.from_arrays(columns, names=[*rest, *_PARSED.names])
+
+
 def _resolved(pieces: Column) -> Column:
     """Text of a value: macros replaced by what the file's @string entries say, unknown ones kept as they are."""
     return F.array_join(F.transform(pieces, lambda p: F.when(p.macro, F.coalesce(F.element_at(F.col("_macros"), F.lower(p.text)), p.text)).otherwise(p.text)), "")
@@ -85,21 +107,23 @@ def parse_entries(entries: DataFrame) -> DataFrame:
 
     Values keep braces of any depth; ``@string`` macros hold in their own file.
     """
-    split = F.pandas_udf(lambda texts: texts.map(lambda e: parse_record(e or "")), _PARSED, F.PandasUDFType.SCALAR)
-    parsed = entries.withColumn("_entry", F.explode(split("entry")))
-    defined = parsed.filter("_entry.kind = 'string'").select("bibtex_file", F.explode("_entry.fields").alias("name", "pieces"))
+    schema = T.StructType([f for f in entries.schema if f.name != "entry"] + _PARSED.fields)
+    parsed = entries.mapInArrow(_parse_rows, schema)
+    # only records that hold the word can define macros: no other is parsed for them
+    defining = entries.filter(F.contains(F.lower("entry"), F.lit("string"))).mapInArrow(_parse_rows, schema)
+    defined = defining.filter("_kind = 'string'").select("bibtex_file", F.explode("_fields").alias("name", "pieces"))
     plain = F.array_join(F.transform("pieces", lambda p: p.text), "")
     # one short list for each file: what its @string entries define
     macros = defined.groupBy("bibtex_file", "name").agg(F.min(plain).alias("text"))
     macros = macros.groupBy("bibtex_file").agg(F.map_from_entries(F.collect_list(F.struct("name", "text"))).alias("_macros"))
-    named = parsed.filter(~F.col("_entry.kind").isin(SKIPPED) & (F.col("_entry.key") != "")).join(macros, "bibtex_file", "left")
+    named = parsed.filter(~F.col("_kind").isin(SKIPPED) & (F.col("_key") != "")).join(macros, "bibtex_file", "left")
     named = named.withColumn("_macros", F.coalesce("_macros", F.create_map().cast("map<string,string>")))
 
     def field(name: str) -> Column:
-        return F.coalesce(_resolved(F.element_at(F.col("_entry.fields"), F.lit(name))), F.lit(""))
+        return F.coalesce(_resolved(F.element_at("_fields", F.lit(name))), F.lit(""))
 
     names = ["title", "author", "institution", "year", "journal", "publisher", "keywords"]
-    values = named.select(*[c for c in entries.columns if c != "entry"], F.col("_entry.key").alias("bibtex_key"), *[field(n).alias(f"_{n}") for n in names])
+    values = named.select(*[c for c in entries.columns if c != "entry"], F.col("_key").alias("bibtex_key"), *[field(n).alias(f"_{n}") for n in names])
     return values.select(
         "bibtex_key",
         clean_bibtex(F.col("_title")).alias("title"),
