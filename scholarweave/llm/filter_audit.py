@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import itertools
 import json
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -63,29 +64,44 @@ def _sum_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df.loc[later, "mask"] = df.loc[later, "mask"] | DUPLICATE
         lost = later | df["id"].isna()  # these need no state
         df.loc[lost, "sha"] = None
-        df.loc[lost, "id"] = None
+        df.loc[lost, "id"] = 0  # not null: a column with nulls reaches ``_update`` as floats, which round large ids
         summed = df.groupby(["bucket", "sha", "id", *_COUNTERS], dropna=False, sort=False)["n"].sum().reset_index()
         yield pa.RecordBatch.from_pandas(summed, schema=batch.schema, preserve_index=False)
 
 
 def _update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Counters' changes from the new rows of a group of texts, and the group's new state."""
-    new = pd.concat(list(parts))
-    changes = [new.loc[new["sha"].isna(), [*_COUNTERS, "n"]]]
-    new = new[new["sha"].notna()].drop(columns="bucket")
-    old = pd.DataFrame(state.get[0], columns=new.columns) if state.exists else new.iloc[:0]
-    rows = pd.concat([old.assign(old=True), new.assign(old=False)]).reset_index(drop=True)
-    rows["id"] = rows["id"].astype("int64")
-    rows["sha"] = rows["sha"].map(bytes)
-    later = rows["id"] > rows.groupby("sha")["id"].transform("min")
-    changes.append(rows.loc[rows["old"] & later, [*_COUNTERS, "n"]].assign(n=lambda x: -x["n"]))
-    counted = rows[later | ~rows["old"]].copy()
-    counted.loc[later, "mask"] |= DUPLICATE
-    changes.append(counted[[*_COUNTERS, "n"]])
-    kept = rows[~later].groupby(["sha", "id", *_COUNTERS], sort=False)["n"].sum().reset_index()
-    state.update(([tuple(x) for x in kept[["sha", "id", *_COUNTERS, "n"]].astype(object).itertuples(index=False)],))
-    summed = pd.concat(changes).groupby(_COUNTERS, sort=False)["n"].sum().reset_index()
-    yield summed[summed["n"] != 0].astype({"mask": "int32", "n": "int64"})
+    held: dict[bytes, tuple[int, Counter]] = {}  # of each text the smallest id and what is counted of it
+    for sha, id_, *of, n in state.get[0] if state.exists else ():
+        held.setdefault(bytes(sha), (id_, Counter()))[1][tuple(of)] += n
+    changes: Counter = Counter()
+
+    def count_as_copies(counted: Counter) -> None:
+        for (part, mask, good, toxic), n in counted.items():
+            changes[part, mask | DUPLICATE, good, toxic] += n
+
+    for new in parts:
+        for sha, id_, n, *of in zip(*(new[c].tolist() for c in ("sha", "id", "n", *_COUNTERS)), strict=True):
+            one = Counter({tuple(of): n})
+            if sha is None:
+                changes.update(one)
+                continue
+            sha = bytes(sha)
+            least, counted = held.get(sha, (None, None))
+            if least is not None and id_ > least:
+                count_as_copies(one)
+                continue
+            changes.update(one)
+            if id_ == least:
+                counted.update(one)
+                continue
+            if least is not None:
+                changes.subtract(counted)
+                count_as_copies(counted)
+            held[sha] = id_, one
+    state.update(([(sha, id_, *of, n) for sha, (id_, counted) in held.items() for of, n in counted.items()],))
+    rows = [(*of, n) for of, n in changes.items() if n]
+    yield pd.DataFrame(rows, columns=[*_COUNTERS, "n"]).astype({"mask": "int32", "good": "bool", "toxic": "bool", "n": "int64"})
 
 
 def counters(spark: SparkSession, folder: str, labels: DataFrame, columns: dict[str, str], batches: int = BATCHES) -> DataFrame:
