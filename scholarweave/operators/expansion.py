@@ -35,10 +35,13 @@ def choose_strategy(complexity: Column, query_type: Column, search_mode: Column)
     return out.when(search_mode == "local", "local").when(search_mode == "global", "global").otherwise("hybrid")
 
 
-def neighbours(edges: DataFrame) -> DataFrame:
-    """Distinct (node_id, neighbour) of the multigraph, direction ignored, for reuse over rounds."""
-    pairs = both_directions(edges.select("src", "dst").filter("src <> dst"))
-    return pairs.select(F.col("node").alias("node_id"), "neighbour").distinct()
+def neighbours(edges: DataFrame, distinct: bool = True) -> DataFrame:
+    """Distinct (node_id, neighbour) of the multigraph, direction ignored, for reuse over rounds.
+
+    Growing drops repeated pairs itself: without ``distinct`` stored edges are only scanned, not shuffled.
+    """
+    pairs = both_directions(edges.select("src", "dst").filter("src <> dst")).select(F.col("node").alias("node_id"), "neighbour")
+    return pairs.distinct() if distinct else pairs
 
 
 def _start(seeds: DataFrame) -> DataFrame:

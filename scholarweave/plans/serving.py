@@ -64,7 +64,8 @@ def query_plan(spark, d):
 def subgraph(spark, d):
     """The local subgraphs of the ten label queries, with what the context needs."""
     nodes, edges, members, found = graph.local_subgraph(spark, d)
-    described = durable(graph.described(spark, d)[0].join(members.select(F.col("node_id").alias("id")).distinct(), "id", "left_semi"))
+    inside = durable(members.select(F.col("node_id").alias("id")).distinct())
+    described = durable(graph.described(spark, d, inside)[0])
     scored = durable(expansion.relevance(members, nodes, found))
     asked_for = found.select("query_id").distinct().select(
         "query_id", F.concat(F.lit("papers near "), "query_id").alias("question"), F.lit("en").alias("language"),
