@@ -320,3 +320,53 @@ def test_a_scan_of_many_queries_holds_few_scores():
     scores = np.round(unit(asked[:40]) @ unit(rows.astype(float)).T, 9)
     for q in range(40):
         assert sorted(got[q]) == sorted(np.lexsort((np.arange(10000), -scores[q]))[:5].tolist())
+
+
+def path_counts(n, edges):
+    names = [f"v{i:03d}" for i in range(n)]
+    around = adjacency([(names[a], names[b]) for a, b in edges])
+    return names, around, brandes(names, around)
+
+
+def test_betweenness_in_cells_and_by_joins_equals_brandes(spark, monkeypatch):
+    """A chain in several cells, a denser component beyond the bound, a pair and a lone node."""
+    from scholarweave.operators import path_cells
+
+    monkeypatch.setattr(path_cells, "WORK", 20)
+    rng = random.Random(11)
+    pairs = [(i, i + 1) for i in range(5)] + [(10, i) for i in range(11, 18)] + [(i, j) for i in range(11, 18) for j in range(11, i) if rng.random() < 0.4] + [(20, 21)]
+    names, _, want = path_counts(23, pairs)
+    nodes, edges = graph(spark, names, [(names[a], names[b]) for a, b in pairs])
+    got = dict(map(tuple, centrality.betweenness_centrality(nodes, edges, held=12).collect()))
+    assert got.keys() == want.keys() and all(abs(want[v] - got[v]) < 1e-9 for v in names)
+
+
+def test_a_cell_follows_few_entries_at_once(monkeypatch):
+    from scholarweave.operators import path_cells
+
+    rng = random.Random(12)
+    pairs = [(0, i) for i in range(1, 40)] + [(rng.randrange(40), rng.randrange(40)) for _ in range(60)]
+    _, around, want = path_counts(40, pairs)
+    lists = [sorted(int(x[1:]) for x in around[f"v{i:03d}"]) for i in range(40)]
+    paths = path_cells.Paths(np.array([len(x) for x in lists]), np.array([v for x in lists for v in x], dtype=np.int32))
+    for step, states in ((7, 40), (1 << 20, 400)):
+        monkeypatch.setattr(path_cells, "STEP", step)
+        monkeypatch.setattr(path_cells, "STATES", states)
+        got = paths.dependencies(np.arange(40)) / (39 * 38)
+        assert all(abs(got[i] - want[f"v{i:03d}"]) < 1e-9 for i in range(40))
+
+
+def test_betweenness_writes_no_row_for_a_source_and_a_node(spark, monkeypatch):
+    written, keep = [], centrality.durable
+
+    def counted(df):
+        out = keep(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(centrality, "durable", counted)
+    rng = random.Random(13)
+    pairs = {tuple(sorted((rng.randrange(80), rng.randrange(80)))) for _ in range(160)}
+    nodes, edges = graph(spark, [f"v{i}" for i in range(80)], [(f"v{a}", f"v{b}") for a, b in pairs])
+    centrality.betweenness_centrality(nodes, edges).collect()
+    assert max(written) <= 2 * len(pairs)
