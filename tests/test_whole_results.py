@@ -164,3 +164,31 @@ def test_year_links_reach_every_paper(spark):
     links = unify.connect_years(nodes, edges)
     assert links.count() == sum(min(10, 119 - i) for i in range(120))
     assert unify.connect_years(nodes, edges, starts=10).count() == 100
+
+
+def test_year_links_across_stretches(spark, monkeypatch):
+    """Links that stand already are left out, others of the same papers are not."""
+    monkeypatch.setattr(unify, "STRETCH", 7)
+    nodes = spark.range(100).select(F.format_string("p%03d", "id").alias("id"), F.lit("paper").alias("node_type"), F.when(F.col("id") < 97, F.pmod("id", F.lit(2)) + 2000).cast("int").alias("year"))
+    given = [("p000", "p002"), ("p002", "p000"), ("p010", "p030"), ("p010", "p032"), ("p011", "p012"), ("p050", "p052"), ("p050", "p052"), ("p050", None), ("x", "p001")]
+    links = unify.connect_years(nodes, spark.createDataFrame(given, "src string, dst string"), reach=10)
+    want = {(f"p{i:03d}", f"p{j:03d}") for i in range(97) for j in range(i + 2, min(97, i + 21), 2)} - set(given)
+    found = [(r["src"], r["dst"]) for r in links.collect()]
+    assert len(found) == len(want) and set(found) == want
+
+
+def test_lengths_of_abstracts_need_no_texts(spark):
+    nodes = spark.createDataFrame([("p1", "t", "short"), ("p1", "t", "a longer one "), ("p2", "t", None)], "id string, title string, abstract string")
+    merged = unify.merge_nodes(unify.standardize_nodes(nodes, "citation"))
+    assert {r["id"]: (r["abstract_length"], r["abstract_quality"], r["has_abstract"]) for r in merged.collect()} == {"p1": (12, "poor", True), "p2": (0, "none", False)}
+    plan = merged.select("id", "abstract_length", "has_abstract")._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by(abstract" not in plan
+
+
+def test_pairs_of_many_members_are_counted_by_many_tasks(spark, monkeypatch):
+    from scholarweave.operators import pairs
+
+    monkeypatch.setattr(pairs, "MEMBERS", 100)
+    members = spark.range(2000).select((F.col("id") / 2).cast("long").alias("g"), F.col("id").alias("i"))
+    listed = pairs._listed_pairs(members, "g", "i")
+    assert listed.count() == 1000 and listed.rdd.getNumPartitions() >= 20
