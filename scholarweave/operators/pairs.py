@@ -9,11 +9,14 @@ from scholarweave.session import durable
 
 # Largest number of members one join key may hold; a bigger group is cut into blocks.
 BLOCK = 512
+# Members whose pairs are laid out and counted by one task.
+MEMBERS = 1 << 18
 
 
 def _listed_pairs(members: DataFrame, group: str, item: str) -> DataFrame:
     """Pairs of groups that are small enough for one list each: one shuffle by group, and no join."""
-    listed = members.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("_items")).filter(F.size("_items") > 1)
+    tasks = max(members.sparkSession.sparkContext.defaultParallelism, -(-members.count() // MEMBERS))
+    listed = members.repartition(tasks, group).groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("_items")).filter(F.size("_items") > 1)
     firsts = listed.select(group, "_items", F.posexplode("_items").alias("_at", "left"))
     return firsts.select(group, "left", F.explode(F.slice("_items", F.col("_at") + 2, F.size("_items"))).alias("right"))
 
