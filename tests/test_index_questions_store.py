@@ -64,6 +64,30 @@ def test_communities_against_single_moves(spark):
     assert communities.communities(nodes, edges.filter("false")).filter("id <> community").isEmpty()
 
 
+def test_moves_of_a_cell_are_made_one_after_another(spark, monkeypatch):
+    """Cells of few neighbours: every round raises modularity, and few rounds reach the end."""
+    rng = random.Random(5)
+    pairs = sorted({(min(a, b), max(a, b)) for a in range(90) for b in (rng.randrange(90), a // 9 * 9 + rng.randrange(9), a // 9 * 9 + rng.randrange(9)) if a != b})
+    edges, nodes, seen = spark.createDataFrame(pairs, "src long, dst long"), spark.range(90).select("id"), []
+    made = communities._one_by_one
+
+    def listened(wanted, cells, two_m, least):
+        out = durable(made(wanted, cells, two_m, least))
+        first = {r["id"]: r["own"] for r in wanted.collect()}
+        seen.append((cells, out.count()))
+        assert all(first[r["id"]] != r["to"] for r in out.collect())
+        return out
+
+    monkeypatch.setattr(communities, "_one_by_one", listened)
+    monkeypatch.setattr(communities, "LISTED", 128)
+    monkeypatch.setattr(communities, "HUB", 12)
+    found = durable(communities.communities(nodes, edges))
+    label = {r["id"]: r["community"] for r in found.collect()}
+    assert max(cells for cells, _ in seen) > 1 and len(seen) < 40
+    assert modularity_by_hand(pairs, label) >= louvain_by_hand(pairs) - 0.03
+    assert communities.single_moves(edges, found).filter("gain > 1e-12").isEmpty()
+
+
 def test_betweenness_in_batches(spark):
     rng = random.Random(4)
     pairs = [(i, i + 1) for i in range(9)] + [(rng.randrange(10), rng.randrange(10)) for _ in range(5)]
