@@ -1,5 +1,8 @@
 """Graph queries on small tables of their own: the whole job, and the same rows as a plain computation."""
 
+import random
+from datetime import datetime
+
 import numpy as np
 
 import __spark_entry__ as entry
@@ -43,3 +46,23 @@ def test_links_join_what_all_pairs_join_in_few_rows(spark):
         found = dict(map(tuple, components.connected_components(store.selectExpr("node_id AS id"), links).collect()))
         assert found == {n: names[label[i]] for i, n in enumerate(names)}
         assert links.count() <= 2 * 300 * 5
+
+
+def test_eigenvector_is_settled(spark, tmp_path):
+    rng = random.Random(2)
+    orders = [rng.sample(range(1, 13), 2) for _ in range(14)] + [[1, 2, 3], [12, 1]]
+    lines = [(o, 1, s, i) for o, some in enumerate(orders) for i, s in enumerate(some)]
+    d = written(
+        spark, tmp_path, supplier=([(i, f"s{i}", 0) for i in range(1, 14)], "s_suppkey long, s_name string, s_nationkey int"),
+        lineitem=(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int"),
+        orders=([(o, 1, datetime(2000, 1, 1)) for o in range(len(orders))], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz"),
+    )
+    a = np.zeros((13, 13))
+    for some in orders:
+        for x in some:
+            for y in some:
+                a[x - 1, y - 1] = x != y
+    values, columns = np.linalg.eigh(a)
+    want = np.abs(columns[:, -1])
+    got = dict(map(tuple, entry.queries()["eigenvector_centrality"](spark, d).collect()))
+    assert len(got) == 13 and all(abs(got[i + 1] - want[i]) < 2e-6 for i in range(13))
