@@ -6,7 +6,7 @@ from datetime import datetime
 import numpy as np
 
 import __spark_entry__ as entry
-from scholarweave.operators import components, vectors
+from scholarweave.operators import components, expansion, vectors
 
 
 def written(spark, folder, **tables):
@@ -66,3 +66,54 @@ def test_eigenvector_is_settled(spark, tmp_path):
     want = np.abs(columns[:, -1])
     got = dict(map(tuple, entry.queries()["eigenvector_centrality"](spark, d).collect()))
     assert len(got) == 13 and all(abs(got[i + 1] - want[i]) < 2e-6 for i in range(13))
+
+
+def test_growing_lists_no_more_of_a_hub_than_a_question_can_take(spark):
+    """A hub of 2,000 neighbours: the same nodes as a plain search, from short lists, with pairs and with lists made before."""
+    hub, rng = "a_hub", random.Random(3)
+    names = [f"v{i:04d}" for i in range(2000)]
+    pairs = [(hub, n) for n in names] + [(rng.choice(names), rng.choice(names)) for _ in range(1500)]
+    around = {n: set() for n in [hub, *names]}
+    for a, b in pairs:
+        if a != b:
+            around[a].add(b)
+            around[b].add(a)
+    starts = {"q1": ["v0007", "v1999"], "q2": [hub], "q3": ["v0500", "v0501", "v0502"]}
+    seeds = spark.createDataFrame([(q, n, 0.5) for q, some in starts.items() for n in some], "query_id string, node_id string, similarity double")
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    both = expansion.neighbours(edges)
+    lists = expansion.listed(both, "node_id", "neighbour", 9)
+    assert max(len(r["ids"]) for r in lists.collect()) == 9
+    want = set()
+    for q, some in starts.items():
+        inside, last = dict.fromkeys(some, 0), set(some)
+        for hop in (1, 2, 3):
+            last = set(sorted(set().union(*(around[n] for n in last)) - set(inside))[: max(0, 9 - len(inside))]) if last else set()
+            inside |= dict.fromkeys(last, hop)
+        want |= {(q, n, hop) for n, hop in inside.items()}
+    score = {n: len(x) / 2000 for n, x in around.items()}
+    central = spark.createDataFrame([(n, x) for n, x in score.items()], "node_id string, centrality double")
+    passed = set()
+    for q, some in starts.items():
+        inside = set(some)
+        for n in sorted(around, key=lambda n: (-score[n], n)):
+            if len(inside) < 9 and n not in inside and (score[n] > 0.1 or around[n] & inside):
+                inside.add(n)
+        passed |= {(q, n) for n in inside}
+    for given, ranked in ((both, None), (lists, expansion.ranked_neighbours(both, central, 9))):
+        assert set(map(tuple, expansion.expand_local(seeds, given, 9).select("query_id", "node_id", "hop").collect())) == want
+        assert set(map(tuple, expansion.expand_global(seeds, given, central, 9, ranked=ranked).select("query_id", "node_id").collect())) == passed
+
+
+def test_years_and_communities_list_no_more_than_a_question_can_take(spark):
+    """All nodes of a year and of a community: what is listed for a question is bounded, and the first by id are taken."""
+    names = [f"p{i:04d}" for i in range(600)]
+    seeds = spark.createDataFrame([("q", "p0300", 0.5), ("r", "p0000", 0.5), ("r", "p0001", 0.5)], "query_id string, node_id string, similarity double")
+    nodes = spark.createDataFrame([(n, 2000 + i // 300) for i, n in enumerate(names)], "id string, year int")
+    labels = spark.createDataFrame([(n, "odd" if i % 2 else "even") for i, n in enumerate(names)], "id string, community string")
+    took = lambda df, q: sorted(r["node_id"] for r in df.collect() if r["query_id"] == q)
+    near = expansion.expand_temporal(seeds, nodes, 5)
+    assert took(near, "q") == ["p0000", "p0001", "p0002", "p0003", "p0300"] and took(near, "r") == names[:5]
+    same = expansion.expand_community(seeds, labels, 5)
+    assert took(same, "q") == ["p0000", "p0002", "p0004", "p0006", "p0300"] and took(same, "r") == names[:5]
+    assert expansion.listed(labels, "community", "id", 5).selectExpr("max(size(ids))").first()[0] == 5
