@@ -7,6 +7,7 @@ import numpy as np
 
 import __spark_entry__ as entry
 from scholarweave.operators import components, expansion, vectors
+from scholarweave.plans import graph
 
 
 def written(spark, folder, **tables):
@@ -117,3 +118,23 @@ def test_years_and_communities_list_no_more_than_a_question_can_take(spark):
     same = expansion.expand_community(seeds, labels, 5)
     assert took(same, "q") == ["p0000", "p0002", "p0004", "p0006", "p0300"] and took(same, "r") == names[:5]
     assert expansion.listed(labels, "community", "id", 5).selectExpr("max(size(ids))").first()[0] == 5
+
+
+def test_seeds_need_no_topics_of_authors(spark, tmp_path, monkeypatch):
+    """The nodes that questions are compared with have the same rows as the described graph, a paper of two texts included, without what others show."""
+    day = datetime(2000, 1, 1)
+    d = written(
+        spark, tmp_path, nation=([(0, "N0", 0), (1, "N1", 0)], "n_nationkey int, n_name string, n_regionkey int"),
+        customer=([(1, "c", 0, 0.0, "AUTO"), (2, "c", 1, 0.0, "HOUSE")], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"),
+        supplier=([(1, "s one", 0), (2, "s two", 0), (3, None, 0)], "s_suppkey long, s_name string, s_nationkey int"),
+        part=([(1, "red"), (2, "blue"), (3, "grey")], "p_partkey long, p_name string"),
+        orders=([(i, 1 + i % 2, "O", 1.0, day, "1-URGENT") for i in range(5)], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"),
+        lineitem=([(0, 1, 1, 1), (0, 2, 2, 2), (1, 1, 2, 1), (4, 2, 1, 1)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int"),
+        documents=([(1, "a text"), (1, "another"), (3, None), (90, "x")], "doc_id long, text string"),
+    )
+    rows = lambda df: sorted(map(str, df.select("id", "node_type", "title", "name").collect()))
+    assert rows(graph.named(spark, d)) == rows(graph.described(spark, d)[0])
+    chats = ([(c, 0, "user", x) for c, x in enumerate(["study auto urgent 3", "red", "s two", "N1"])], "conv_id long, turn long, role string, text string")
+    written(spark, tmp_path, conversations=chats)
+    monkeypatch.setattr(graph, "described", lambda *a: 1 / 0)
+    assert entry.queries()["question_seeds"](spark, d).count() > 0
