@@ -6,7 +6,7 @@ from datetime import datetime
 import numpy as np
 
 import __spark_entry__ as entry
-from scholarweave.operators import components, expansion, vectors
+from scholarweave.operators import components, expansion, path_cells, vectors
 from scholarweave.plans import graph
 
 
@@ -138,3 +138,17 @@ def test_seeds_need_no_topics_of_authors(spark, tmp_path, monkeypatch):
     written(spark, tmp_path, conversations=chats)
     monkeypatch.setattr(graph, "described", lambda *a: 1 / 0)
     assert entry.queries()["question_seeds"](spark, d).count() > 0
+
+
+def test_a_dense_component_is_followed_by_matrices(monkeypatch):
+    """A clique, a random part and a tail: the same sums as entry by entry, without going through the entries."""
+    rng = random.Random(5)
+    pairs = {(i, j) for i in range(30) for j in range(i)} | {(i, j) for i in range(30, 60) for j in range(i) if rng.random() < 0.15} | {(i, i - 1) for i in range(30, 70)}
+    around = [sorted({b for a, b in pairs if a == v} | {a for a, b in pairs if b == v}) for v in range(70)]
+    degree, ends = np.array([len(x) for x in around]), np.array([v for x in around for v in x], np.int32)
+    monkeypatch.setattr(path_cells, "SQUARE", 0, raising=False)
+    want = path_cells.Paths(degree, ends).dependencies(np.arange(70))
+    monkeypatch.undo()
+    monkeypatch.setattr(path_cells, "STATES", 200)
+    monkeypatch.setattr(path_cells.Paths, "_entries", lambda *a: 1 / 0)
+    assert want.max() > 100 and np.allclose(path_cells.Paths(degree, ends).dependencies(np.arange(70)), want, rtol=1e-12)
