@@ -4,6 +4,7 @@ import random
 from datetime import datetime
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from scholarweave.operators import components, expansion, path_cells, vectors
@@ -152,3 +153,19 @@ def test_a_dense_component_is_followed_by_matrices(monkeypatch):
     monkeypatch.setattr(path_cells, "STATES", 200)
     monkeypatch.setattr(path_cells.Paths, "_entries", lambda *a: 1 / 0)
     assert want.max() > 100 and np.allclose(path_cells.Paths(degree, ends).dependencies(np.arange(70)), want, rtol=1e-12)
+
+
+def test_repeated_papers_count_as_before_and_hybrid_looks_up_lists(spark):
+    """A node that stands several times in a year or a community takes as many places; the three steps of hybrid growth give the same with pairs and with lists."""
+    seeds = spark.createDataFrame([("q", "p2", 0.5)], "query_id string, node_id string, similarity double")
+    some = ["p0", "p1", "p1", "p2", "p2", "p2", "p2", "p2", "p2", "p3", "p4"]
+    nodes = spark.createDataFrame([(n, 2000) for n in some], "id string, year int")
+    labels = spark.createDataFrame([(n, "c") for n in some], "id string, community string")
+    rows = lambda df: sorted(r["node_id"] for r in df.collect())
+    assert rows(expansion.expand_temporal(seeds, nodes, 5)) == rows(expansion.expand_community(seeds, labels, 5)) == ["p0", "p1", "p1", "p2", "p3"]
+    pairs = expansion.neighbours(spark.createDataFrame([(f"p{i}", f"p{i // 2}") for i in range(1, 40)], "src string, dst string"))
+    central = pairs.groupBy("node_id").agg((F.count("*") / 39).alias("centrality"))
+    store = spark.createDataFrame([(f"p{i}", [1.0, i / 10]) for i in range(40)], "node_id string, embedding array<float>")
+    plain = expansion.expand_hybrid(seeds, pairs, store, central, 12)
+    looked = expansion.expand_hybrid(seeds, expansion.listed(pairs, "node_id", "neighbour", 12), store, central, 12, ranked=expansion.ranked_neighbours(pairs, central, 12))
+    assert len(rows(plain)) > 6 and rows(plain) == rows(looked)
